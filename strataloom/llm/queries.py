@@ -5,17 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataloom.llm import encoding
+from strataloom.functions.tokens import token_count
+from strataloom.llm import encoding, items, splitting
 from strataloom.plans.tables import table
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all current documents and chunks above the limit."""
+    limit = splitting.SplitConfig().max_tokens
+    current = items.current_items(items.delivered_items(spark, sf_dir), ["text", "section_path"], lambda: token_count(F.col("text")) > limit)
+    return splitting.split_oversized(current)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pieces(spark, sf_dir).where("piece_index = 0").select("item_kind", "item_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
