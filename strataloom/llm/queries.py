@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.tokens import token_count
-from strataloom.llm import encoding, items, splitting
+from strataloom.llm import encoding, items, mixing, splitting
 from strataloom.plans.tables import table
 
 
@@ -27,8 +27,22 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, sf_dir, "documents")
+    sizes = encoding.count_tokens(documents).join(documents.select("doc_id", "source"), "doc_id")
+    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"))
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids}
+    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict[str, str]:
