@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.tokens import token_count
-from strataloom.llm import encoding, items, mixing, splitting
+from strataloom.llm import encoding, items, mixing, quality, splitting
 from strataloom.plans.tables import table
 
 
@@ -41,8 +41,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, distance and kind of every document."""
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_quality(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares}
+    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_quality": p8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
