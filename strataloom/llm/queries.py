@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.tokens import token_count
-from strataloom.llm import encoding, items, mixing, quality, splitting
+from strataloom.llm import conversations, encoding, items, mixing, quality, splitting
 from strataloom.plans.tables import table
 
 
@@ -23,6 +23,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_index = 0").select("item_kind", "item_id")
 
 
+def _kept_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.rebuild(table(spark, sf_dir, "chat_turns"), table(spark, sf_dir, "chat_conversations"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_turns(spark, sf_dir).select("conversation_id", "turn_pos", "node_id")
+
+
+def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept turns with speaker, text and marks of new sessions."""
+    return conversations.with_sessions(_kept_turns(spark, sf_dir), table(spark, sf_dir, "chat_turns"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
@@ -51,7 +64,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_quality": p8_quality}
+    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_quality": p8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
