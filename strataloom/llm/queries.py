@@ -8,10 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.tokens import token_count
-from strataloom.llm import conversations, encoding, items, mixing, quality, splitting
+from strataloom.llm import conversations, encoding, items, mixing, quality, splitting, vectors
 from strataloom.plans.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = vectors.SearchConfig(min_similarity=0.9, recall=0.995)
+    near = vectors.neighbours(vectors.current_vectors(table(spark, sf_dir, "chunk_records")), config=config)
+    return near.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar records of every twentieth record (by a hash of its id), against all records."""
+    twentieth = F.pmod(F.xxhash64("id"), F.lit(20)) == 0
+    return vectors.neighbours(vectors.current_vectors(table(spark, sf_dir, "chunk_records")), twentieth)
+
+
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all current documents and chunks above the limit."""
     limit = splitting.SplitConfig().max_tokens
@@ -64,7 +76,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_quality": p8_quality}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_quality": p8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
