@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.tokens import token_count
-from strataloom.llm import conversations, encoding, items, mixing, quality, splitting, vectors
+from strataloom.llm import conversations, encoding, items, mixing, neardup, quality, splitting, vectors
 from strataloom.plans.tables import table
 
 
@@ -48,6 +48,21 @@ def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.with_sessions(_kept_turns(spark, sf_dir), table(spark, sf_dir, "chat_turns"))
 
 
+P4 = neardup.NearDupConfig(words=3, similarity=0.7, min_words=20)  # as TESTDATA.md states them
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = neardup.near_duplicates(items.delivered_items(spark, sf_dir), P4)
+    return neardup.pairs_of_ids(members, links, P4)
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with its class, and the number of other classes that are near it."""
+    members, links = neardup.near_duplicates(items.delivered_items(spark, sf_dir), P4)
+    ends = links.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
+    return members.join(ends, "cid", "left").na.fill(0, ["links"])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
@@ -76,7 +91,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_quality": p8_quality}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_classes": p4_classes, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_quality": p8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
