@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.tokens import token_count
-from strataloom.llm import conversations, encoding, items, mixing, neardup, quality, splitting, vectors
+from strataloom.llm import conversations, encoding, items, mixing, neardup, pii, quality, splitting, vectors
 from strataloom.plans.tables import table
 
 
@@ -63,6 +63,24 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(ends, "cid", "left").na.fill(0, ["links"])
 
 
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = pii.Lexicon.of([(r["name"], r["kind"]) for r in table(spark, sf_dir, "name_lexicon").limit(100_000).collect()])  # a fixed table
+    current = items.current_items(items.delivered_items(spark, sf_dir), ["text"])
+    config = pii.PiiConfig()
+    crf = pii.fit(pii.label_table(items.delivered_items(spark, sf_dir), lexicon, config), lexicon, config)
+    return pii.find(current, crf, lexicon, config)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _mentions(spark, sf_dir).select("item_kind", "item_id", F.explode("mentions").alias("m"))
+    return each.select("item_kind", "item_id", "m.entity", "m.span_start")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every current text with its mentions replaced by placeholders."""
+    return pii.redacted(_mentions(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
@@ -91,7 +109,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_classes": p4_classes, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_quality": p8_quality}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_quality": p8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
