@@ -248,6 +248,19 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return sent.groupBy("cid_a").cogroup(sets.groupBy("cid")).applyInArrow(check, "cid_a long, cid_b long, similarity double")
 
 
+def _texts_of(deliveries: DataFrame, readers: DataFrame) -> DataFrame:
+    """Current texts of the few items in ``readers``, written as sets. Spark's own Bloom filter of their ids, of bounded size, thins the texts before the shuffle."""
+    spark = deliveries.sparkSession
+    setting = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "0")
+    try:
+        wanted = readers.where("cid <> 0 or item_id <> ''")
+        return materialize(current_rows(deliveries.join(wanted, ["item_kind", "item_id"]), ["cid"], ["text"]), "texts")
+    finally:
+        spark.conf.set(setting, before) if before is not None else spark.conf.unset(setting)
+
+
 def near_duplicates(deliveries: DataFrame, config: NearDupConfig = NearDupConfig()) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the current rows of ``deliveries`` (item_kind, item_id, text, arrived_at).
 
@@ -263,15 +276,13 @@ def near_duplicates(deliveries: DataFrame, config: NearDupConfig = NearDupConfig
     sketched = hashed.mapInArrow(lambda b: sketch_batches(b, config), schema)
     current = current_rows(sketched, ["item_kind", "item_id"], ["n", "set1", "set2", "fp", "bands"]).where("n > 0")
     current = materialize(current.withColumn("cid", F.xxhash64("item_kind", "set1", "set2", "n")).drop("set1", "set2"), "sketches")
-    groups = current.groupBy("item_kind", "cid").agg(F.min("item_id").alias("representative"), F.count("*").alias("members"))
-    members = current.select("item_kind", "item_id", "cid").join(groups, ["item_kind", "cid"])
     # Bands of documents and of chunks don't meet: the kind is part of the key.
     of_kind = current.withColumn("bands", F.transform("bands", lambda x: F.xxhash64(x, "item_kind")))
-    classes = of_kind.groupBy("cid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = of_kind.groupBy("cid").agg(F.first("item_kind").alias("item_kind"), F.min("item_id").alias("representative"), F.count("*").alias("members"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = materialize(classes, "classes")
     pairs = materialize(_candidates(classes, config), "pairs")
     wanted = pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct()
-    readers = materialize(members.where("item_id = representative").join(wanted, "cid", "left_semi").select("item_kind", "item_id", "cid"), "readers")
-    texts = current_rows(deliveries.join(readers, ["item_kind", "item_id"]), ["item_kind", "item_id", "cid"], ["text"])
+    readers = materialize(classes.select("item_kind", F.col("representative").alias("item_id"), "cid").join(wanted, "cid", "left_semi"), "readers")
     n_words = config.words
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,18 +290,21 @@ def near_duplicates(deliveries: DataFrame, config: NearDupConfig = NearDupConfig
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
                 flat, n = shingle_sets(b.column(1), n_words)
-                yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat.view(np.int64)))], names=["cid", "shingles"])
+                # 32 bits tell the shingles of two texts apart well enough, and halve what is sent.
+                yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["cid", "shingles"])
 
-    sets = materialize(texts.select("cid", word_hashes(F.col("text")).alias("h")).mapInArrow(to_sets, "cid long, shingles array<long>"), "sets")
+    sets = materialize(_texts_of(deliveries, readers).select("cid", word_hashes(F.col("text")).alias("h")).mapInArrow(to_sets, "cid long, shingles array<int>"), "sets")
     kinds = readers.select("cid", "item_kind")
     links = _checked(pairs, sets, config.similarity).join(kinds, F.col("cid_a") == kinds.cid).select("item_kind", "cid_a", "cid_b", "similarity")
+    members = current.select("item_kind", "item_id", "cid").join(classes.select("cid", "representative", "members"), "cid")
     return members, links
 
 
 def pairs_of_ids(members: DataFrame, links: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """item_kind, id_a, id_b (the smaller first): the links between items, and copies as ``expand`` says."""
-    members = materialize(members, "members")
     links = materialize(links, "links")
+    touched = links.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct().withColumn("linked", F.lit(True))
+    members = materialize(members.join(touched, "cid", "left").where("linked or members > 1").drop("linked"), "members")
     crowd = F.col("members") > config.expand
     shown = members.where(~crowd | (F.col("item_id") == F.col("representative"))).select("item_kind", "cid", "item_id")
     a = shown.select("item_kind", F.col("cid").alias("cid_a"), F.col("item_id").alias("a"))
