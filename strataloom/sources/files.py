@@ -104,7 +104,7 @@ def read_documents(files: DataFrame, convert: Callable[[str, bytes], str] | None
 
 def read_session_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """session (file), line_no, type, record (JSON) of JSONL files; lines that are no objects are left out."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(paths)
+    text = spark.read.text(paths, wholetext=True, pathGlobFilter="*.jsonl", recursiveFileLookup=True)
     lines = text.select(F.col("_metadata.file_path").alias("session"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "record"))
     kept = lines.where(F.col("record").rlike(r"^\s*\{")).select("session", (F.col("line") + 1).alias("line_no"), "record")
     return kept.withColumn("type", F.get_json_object("record", "$.type"))

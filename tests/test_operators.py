@@ -1,0 +1,185 @@
+"""Operators on small rows: cases that the given tables don't have."""
+
+import json
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from strataloom.functions.network import is_private_ipv4
+from strataloom.functions.text import clean_list, epoch_to_timestamp, normalize_extension, slug
+from strataloom.functions.tokens import token_count
+from strataloom.operators import audit, chunking, filters, presentation, retrieval
+from strataloom.operators import security as sec
+from strataloom.operators.current import current_rows
+from strataloom.operators.ranking import positions
+from strataloom.sources import files, index, raw_store
+from strataloom.streaming import ingest
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize("text, n", [("", 0), (None, 0), ("a-b v3.14 foo", 3), ("a- b", 3), ("中文 ok。", 4), ("a b　c", 3), ("--", 2)])
+def test_token_count(spark, text, n):
+    assert one(spark, token_count(F.lit(text).cast("string"))) == n
+
+
+@pytest.mark.parametrize("address, private", [("192.168.1.1", True), ("8.8.8.8", False), ("172.32.0.1", False), ("192.0.0.9", False), ("255.255.255.255", True), ("10.0.0.256", None), ("010.0.0.1", None)])
+def test_private(spark, address, private):
+    assert one(spark, is_private_ipv4(F.lit(address))) == private
+
+
+def test_text_functions(spark):
+    assert one(spark, clean_list(F.array(F.lit(" a "), F.lit("a"), F.lit(" \n"), F.lit(None), F.lit("b")))) == ["a", "b"]
+    assert one(spark, slug(F.lit("Hex High!"))) == "hex_high" and one(spark, slug(F.lit("--"))) == "unknown"
+    assert one(spark, normalize_extension(F.lit(" MD "))) == ".md" and one(spark, normalize_extension(F.lit(" "))) is None
+    assert one(spark, F.unix_millis(epoch_to_timestamp(F.lit(1736115366185.0)))) == one(spark, F.unix_millis(epoch_to_timestamp(F.lit(1736115366.185)))) == 1736115366185
+    assert one(spark, epoch_to_timestamp(F.lit(float("nan")))) is None
+
+
+def test_current_rows(spark):
+    rows = [("a", "old", "2020-01-01"), ("a", "new", "2021-01-01"), ("a", "new", "2021-01-01"), ("b", "only", None), (None, "x", "2020-01-01")]
+    df = spark.createDataFrame(rows, "k string, v string, at string").withColumn("arrived_at", F.col("at").cast("timestamp"))
+    assert sorted(map(tuple, current_rows(df, ["k"], ["v"]).collect())) == [("a", "new"), ("b", "only")]
+    assert current_rows(df.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_positions(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 900, "big").otherwise("small").alias("g"), (F.lit(1000) - F.col("id")).alias("o"))
+    got = positions(df, "g", ["o"]).collect()
+    assert sorted(r.pos for r in got if r.g == "big") == list(range(900))
+    assert all(a.pos < b.pos for a, b in zip(*(lambda s: (s, s[1:]))(sorted((r for r in got if r.g == "big"), key=lambda r: r.o))))
+
+
+def test_filters():
+    assert filters.Filters(domain="  x ").items() == [("domain", "x")]
+    for bad in ({"domain": " "}, {"domain": "x" * 129}):
+        with pytest.raises(ValueError):
+            filters.Filters(**bad)
+    with pytest.raises(ValueError):
+        filters.SearchRequest("q", top_k=101)
+    assert filters.predicate() is None
+
+
+def test_filter_is_pushed_to_the_scan(spark, tmp_path):
+    spark.range(10).select(F.col("id").cast("string").alias("domain"), F.lit("t").alias("tenant_id"), F.lit("long text").alias("text")).write.parquet(str(tmp_path / "t"))
+    plan = filters.apply(spark.read.parquet(str(tmp_path / "t")), filters.Filters(domain="3"), filters.Scope("t")).select("domain")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(tenant_id,t), EqualTo(domain,3)" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("text, blocks", [
+    ("# A\n\nintro\n\n## S\n\ntext", [("# A", ["A"], "heading"), ("intro", ["A"], "text"), ("## S", ["A", "S"], "heading"), ("text", ["A", "S"], "text")]),
+    ("### C\n## B", [("### C", ["C"], "heading"), ("## B", ["C", "B"], "heading")]),
+    ("```sh\n# no\n```", [("```sh\n# no\n```", [], "code")]), ("~~~\nopen", [("~~~\nopen", [], "code")]),
+    ("- a\n- b", [("- a\n- b", [], "list")]), ("- a\n# H", [("- a", [], "text"), ("# H", ["H"], "heading")]), ("a|b\nc|d", [("a|b\nc|d", [], "table")]), ("", []),
+])
+def test_blocks(text, blocks):
+    assert chunking.parse_blocks(text) == blocks
+
+
+def test_chunks_keep_the_limit_and_all_text(spark):
+    config = chunking.ChunkingConfig(max_tokens=7, overlap_tokens=2)
+    text = "# H\n\n" + " ".join(f"w{i}" for i in range(30)) + "\n\n" + "中" * 20 + "\n\naa bb\n\ncc dd\n\nee ff"
+    got = chunking.chunk_documents(spark.createDataFrame([("d", text), ("e", ""), ("f", None)], "document_id string, content string"), config=config).orderBy("chunk_index").collect()
+    assert {r.document_id for r in got} == {"d"} and all(r.token_count <= 7 for r in got)
+    assert "".join(text.split()) in "".join("".join(r.text.split()) for r in got) or all(w in " ".join(r.text for r in got) for w in text.split()[2:32])
+    assert len({r.chunk_id for r in got}) == len(got)
+    assert any(a.text.split("\n\n")[-1] == b.text.split("\n\n")[0] for a, b in zip(got, got[1:]))
+
+
+def test_turn_chunks(spark):
+    turns = [("c", i, "user" if i % 2 == 0 else "assistant", "one two three four") for i in range(4)] + [("l", 0, "user", " ".join(["w"] * 40))]
+    got = chunking.chunk_conversations(spark.createDataFrame(turns, "conversation_id string, turn_pos long, speaker string, text string"), config=chunking.ChunkingConfig(20, 0, 1)).collect()
+    assert all(r.token_count <= 20 for r in got) and all(r.text.startswith("## User") for r in got if r.conversation_id == "l")
+    assert any(r.overlap_pieces == 1 for r in got if r.conversation_id == "c")
+
+
+def test_security(spark):
+    rows = [(1, "token = sk-test-secret"), (2, "Contact alice@example.com, 10.0.0.7 and /etc/hosts"), (3, "DNS 8.8.8.8"), (4, None), (5, "a@b.co a@b.co")]
+    docs = spark.createDataFrame(rows, "id long, content string")
+    found = sec.findings(sec.scannable_fields(docs, "id", {"content": "content"}), "id")
+    assert {r.id: r.decision for r in sec.decisions(docs, found, "id").collect()} == {1: "block", 2: "mark", 3: "allow", 4: "allow", 5: "mark"}
+    assert sorted((r.start, r.end) for r in found.where("id = 5").collect()) == [(0, 6), (7, 13)]
+    clean = {r.id: r.c for r in docs.select("id", sec.redact(F.col("content"), sec.DETECTORS).alias("c")).collect()}
+    assert clean[2] == "Contact [PII:EMAIL_ADDRESS], [INTERNAL_IP] and [LOCAL_PATH]" and clean[4] is None
+    with pytest.raises(ValueError):
+        sec.Policy(secret="redact")
+
+
+def test_operational_fields_are_skipped(spark):
+    docs = spark.createDataFrame([(1, '{"sha256": "a@b.co", "note": "c@d.co"}')], "id long, m string")
+    assert [r.field_path for r in sec.json_fields(docs, "id", "m").collect()] == ["metadata.note"]
+
+
+def test_metrics_and_fusion(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0]), ("d", [1.0])]
+    ix = spark.createDataFrame(rows, "chunk_id string, vector array<double>")
+    assert [r.chunk_id for r in retrieval.dense_topk(ix, [1.0, 0.0], 3).orderBy("rank").collect()] == ["a", "c", "b"]
+    assert [r.chunk_id for r in retrieval.dense_topk(ix, [1.0, 1.0], 1, metric="L2").collect()] == ["c"]
+    with pytest.raises(ValueError):
+        retrieval.similarity(F.col("a"), F.col("b"), "JACCARD")
+
+
+def test_budget():
+    hits = [{"chunk_id": str(i), "text": "x" * 600} for i in range(8)]
+    out = presentation.format_hits(hits, presentation.Budget(3, 2_048))
+    assert len(out["results"]) == 3 and out["omitted"] == 5 and out["truncated"]
+    big = presentation.format_hits([{"chunk_id": "1", "text": "中\"" * 15_000}], presentation.Budget(5, 2_048))
+    assert big["results"][0]["text_truncated"] and len(json.dumps(big, ensure_ascii=False, separators=(",", ":"))) <= 2_048
+    assert presentation.format_hits([])["results"] == []
+
+
+def test_citations(spark):
+    ids = [("s1", "d:chunk:aa1"), ("s1", "d:chunk:bb2"), ("s2", "d:chunk:aa1"), ("s2", "e:chunk:aa1"), ("s3", "d:chunk:x9"), ("s5", "d:chunk:aa1")]
+    answers = [("s1", "see d:chunk:aa1 and `bb2`"), ("s2", "by `aa1`"), ("s3", "chunk_id: nope"), ("s4", "text"), ("s5", "   "), ("s6", None)]
+    got = audit.citations(spark.createDataFrame(answers, "session_id string, answer string"), spark.createDataFrame(ids, "session_id string, chunk_id string"))
+    by = {r.session_id: (r.status, r.citation_format) for r in got.collect()}
+    assert by == {"s1": ("valid_id_present", "mixed"), "s2": ("invalid_or_ambiguous_citation", "none"), "s3": ("invalid_or_ambiguous_citation", "none"), "s4": ("no_evidence", "none"), "s5": ("no_answer", "none"), "s6": ("no_answer", "none")}
+
+
+def test_raw_store(spark, tmp_path):
+    assert [one(spark, raw_store.valid_key(F.lit(k))) for k in ("a/b", "/a", "a//b", "a/../b", "a\\b", "")] == [True, False, False, False, False, False]
+    rows = spark.createDataFrame([("k1", b"1"), ("k1", b"1"), ("k2", b"2")], "raw_key string, content binary")
+    path = "file://" + str(tmp_path / "raw")
+    assert {r.raw_object_reused for r in raw_store.put_once(spark, rows, path).collect()} == {False}
+    again = raw_store.put_once(spark, rows.unionByName(spark.createDataFrame([("k3", b"3")], rows.schema)), path)
+    assert {(r.raw_key, r.raw_object_reused) for r in again.collect()} == {("k1", True), ("k2", True), ("k3", False)}
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_files(spark, tmp_path):
+    conv = [{"id": "a", "mapping": {}}, {"id": "b", "mapping": {}}]
+    (tmp_path / "conversations.json").write_text("﻿" + json.dumps(conv))
+    with zipfile.ZipFile(tmp_path / "export.zip", "w") as z:
+        z.writestr("x/conversations-1.json", json.dumps({"conversations": conv[:1]}))
+        z.writestr("other.json", "[1]")
+    (tmp_path / "a.md").write_text("# T\n")
+    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    read = files.read_binary(spark, str(tmp_path))
+    assert {r.path.rsplit("/", 1)[1]: r.kind for r in read.collect()} == {"conversations.json": "chat", "export.zip": "chat", "a.md": "document", "a.pdf": "document"}
+    got = files.read_conversations(read.where("kind = 'chat'"))
+    assert sorted((r.member, r.ordinal) for r in got.collect()) == [("conversations.json", 0), ("conversations.json", 1), ("x/conversations-1.json", 0)]
+    docs = {r.path[-2:]: (r.content, r.error) for r in files.read_documents(read.where("kind = 'document'")).collect()}
+    assert docs["md"] == ("# T\n", None) and "no converter" in docs["df"][1]
+    with pytest.raises(ValueError):
+        files.safe_member("../x")
+    (tmp_path / "s.jsonl").write_text('{"type":"turn/start"}\nnot json\n{"type":"turn/end"}\n')
+    assert [(r.line_no, r.type) for r in files.read_session_logs(spark, str(tmp_path)).orderBy("line_no").collect()] == [(1, "turn/start"), (3, "turn/end")]
+
+
+def test_upsert_and_stream(spark, tmp_path):
+    old = spark.createDataFrame([("1", "d", "a"), ("2", "d", "b")], "chunk_id string, document_id string, v string")
+    new = spark.createDataFrame([("2", "d", "c"), ("3", "d", "d")], old.schema)
+    assert sorted(map(tuple, index.upsert(old, new).collect())) == [("1", "d", "a"), ("2", "d", "c"), ("3", "d", "d")]
+    assert index.upsert(old, new, replace="document_id").count() == 2
+    with pytest.raises(ValueError):
+        index.check_columns(old)
+    src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
+    df = spark.createDataFrame([("a", 1, "2020-01-01"), ("b", 1, "2020-01-01")], "k string, v int, at string").select("k", "v", F.col("at").cast("timestamp").alias("arrived_at"))
+    df.write.parquet(src)
+    ingest.stream_current(spark, src, df.schema, out, check, ["k"]).awaitTermination()
+    spark.createDataFrame([("a", 2, "2021-01-01")], "k string, v int, at string").select("k", "v", F.col("at").cast("timestamp").alias("arrived_at")).write.mode("append").parquet(src)
+    ingest.stream_current(spark, src, df.schema, out, check, ["k"]).awaitTermination()
+    assert sorted((r.k, r.v) for r in ingest.latest(spark, out).collect()) == [("a", 2), ("b", 1)]
