@@ -13,7 +13,7 @@ from strataloom.plans.tables import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = vectors.SearchConfig(min_similarity=0.9, recall=0.99)
+    config = vectors.SearchConfig(min_similarity=0.9, recall=0.97)
     near = vectors.neighbours(vectors.current_vectors(table(spark, sf_dir, "chunk_records")), config=config)
     return near.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
 
