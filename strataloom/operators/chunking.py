@@ -199,7 +199,9 @@ def chunk_id(doc: Column, strategy: str, index: Column, content_hash: Column) ->
 def chunk_documents(docs: DataFrame, id_col: str = "document_id", text_col: str = "content", config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
     """Chunks of every document: id, chunk_id, chunk_index, text, token_count, section_path, block_kinds, content_hash. Blank texts give none."""
     strategy = "markdown_structure_v1"
-    packed = document_blocks(docs, id_col, text_col, config).withColumn("groups", pack(F.col("blocks.tokens"), config.max_tokens, config.overlap_tokens))
+    packed = document_blocks(docs, id_col, text_col, config)
+    # The counts as a column of their own: the fold looks at them again and again.
+    packed = packed.withColumn("counts", F.transform("blocks", lambda b: b.tokens)).withColumn("groups", pack(F.col("counts"), config.max_tokens, config.overlap_tokens))
     rows = packed.select(id_col, "blocks", F.posexplode("groups").alias("chunk_index", "g"))
     mine = F.slice("blocks", F.col("g.first") + 1, F.col("g.last") - F.col("g.first") + 1)
     rows = rows.select(id_col, "chunk_index", mine.alias("mine"))

@@ -61,8 +61,8 @@ def bm25_topk(docs: DataFrame, query: str, k: int, id_col: str, text_col: str, k
     """
     terms = sorted(set(re.findall(r"\w+", query.lower())))
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM_RE), F.lit(0))
-    counted = docs.withColumn("_w", words)
-    tf = [_times("_w", t) for t in terms]
+    counted = docs.withColumn("_w", words).withColumn("_q", F.filter("_w", lambda w: w.isin(terms)))
+    tf = [_times("_q", t) for t in terms]
     base = counted.select(F.col(id_col), (keep if keep is not None else F.lit(True)).alias("_keep"), F.size("_w").alias("dl"), *[c.alias(f"_t{i}") for i, c in enumerate(tf)])
     stats = base.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avgdl"), *[F.sum((F.col(f"_t{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(terms))])
     hits = base.where(F.col("_keep") & reduce(lambda a, b: a | b, [F.col(f"_t{i}") > 0 for i in range(len(terms))], F.lit(False)))
