@@ -202,9 +202,9 @@ def chunk_documents(docs: DataFrame, id_col: str = "document_id", text_col: str
     packed = document_blocks(docs, id_col, text_col, config)
     # The counts as a column of their own: the fold looks at them again and again.
     packed = packed.withColumn("counts", F.transform("blocks", lambda b: b.tokens)).withColumn("groups", pack(F.col("counts"), config.max_tokens, config.overlap_tokens))
-    rows = packed.select(id_col, "blocks", F.posexplode("groups").alias("chunk_index", "g"))
-    mine = F.slice("blocks", F.col("g.first") + 1, F.col("g.last") - F.col("g.first") + 1)
-    rows = rows.select(id_col, "chunk_index", mine.alias("mine"))
+    # Cut before the explode: a row then carries its own blocks and not the document's.
+    cut = packed.select(id_col, F.transform("groups", lambda g: F.slice("blocks", g.first + 1, g.last - g.first + 1)).alias("cut"))
+    rows = cut.select(id_col, F.posexplode("cut").alias("chunk_index", "mine"))
     with_path = F.filter("mine", lambda x: F.size(x.section_path) > 0)
     rows = rows.select(
         id_col, "chunk_index", F.array_join(F.col("mine.text"), "\n\n").alias("text"), F.aggregate("mine", F.lit(0), lambda s, x: s + x.tokens).alias("token_count"),
