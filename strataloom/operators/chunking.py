@@ -204,7 +204,8 @@ def chunk_documents(docs: DataFrame, id_col: str = "document_id", text_col: str
     packed = packed.withColumn("counts", F.transform("blocks", lambda b: b.tokens)).withColumn("groups", pack(F.col("counts"), config.max_tokens, config.overlap_tokens))
     # Cut before the explode: a row then carries its own blocks and not the document's.
     cut = packed.select(id_col, F.transform("groups", lambda g: F.slice("blocks", g.first + 1, g.last - g.first + 1)).alias("cut"))
-    rows = cut.select(id_col, F.posexplode("cut").alias("chunk_index", "mine"))
+    # Outer, then filtered: a plain explode has the optimizer test the array first, and work it out twice.
+    rows = cut.select(id_col, F.posexplode_outer("cut").alias("chunk_index", "mine")).where("chunk_index is not null")
     with_path = F.filter("mine", lambda x: F.size(x.section_path) > 0)
     rows = rows.select(
         id_col, "chunk_index", F.array_join(F.col("mine.text"), "\n\n").alias("text"), F.aggregate("mine", F.lit(0), lambda s, x: s + x.tokens).alias("token_count"),
@@ -218,7 +219,7 @@ def pack_lines(docs: DataFrame, id_col: str, text_col: str, limit: int = 512) ->
     """Lines packed into groups of at most ``limit`` tokens (a longer line alone): id, chunk_index, n_lines, tokens. All in the JVM."""
     lines = F.split(F.col(text_col), "\n")
     counted = docs.where(F.col(text_col).isNotNull()).select(id_col, F.transform(lines, lambda x: token_count(x).cast("int")).alias("counts"))
-    groups = counted.select(id_col, "counts", F.posexplode(pack(F.col("counts"), limit, 0)).alias("chunk_index", "g"))
+    groups = counted.select(id_col, "counts", F.posexplode_outer(pack(F.col("counts"), limit, 0)).alias("chunk_index", "g")).where("chunk_index is not null")
     n = F.col("g.last") - F.col("g.first") + 1
     return groups.select(id_col, "chunk_index", n.alias("n_lines"), F.aggregate(F.slice("counts", F.col("g.first") + 1, n), F.lit(0), lambda s, x: s + x).alias("tokens"))
 
@@ -262,7 +263,7 @@ def chunk_conversations(turns: DataFrame, conv: str = "conversation_id", pos: st
         )
 
     groups = F.aggregate(F.sequence(F.lit(0), F.size("p") - 1), state, step, lambda s: F.concat(s.done, F.array(F.struct(s.first.alias("first"), (F.size("p") - 1).alias("last")))))
-    rows = gathered.where(F.size("p") > 0).select("conv", "p", F.posexplode(groups).alias("chunk_index", "g"), groups.alias("all"))
+    rows = gathered.where(F.size("p") > 0).select("conv", "p", groups.alias("all")).select("conv", "p", "all", F.posexplode_outer("all").alias("chunk_index", "g")).where("chunk_index is not null")
     mine = F.slice("p", F.col("g.first") + 1, F.col("g.last") - F.col("g.first") + 1)
     before = F.when(F.col("chunk_index") > 0, F.element_at("all", F.col("chunk_index")).last).otherwise(-1)
     return rows.select(

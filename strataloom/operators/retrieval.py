@@ -49,7 +49,7 @@ class Bm25Config:
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """term, id, tf, dl: the inverted index with each document's length beside its terms."""
     terms = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM_RE), F.lit(0))
-    each = docs.select(id_col, terms.alias("terms")).select(id_col, F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    each = docs.select(id_col, terms.alias("terms")).select(id_col, F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).where("term is not null")
     return each.groupBy("term", id_col, "dl").agg(F.count("*").alias("tf"))
 
 

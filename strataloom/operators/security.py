@@ -104,7 +104,7 @@ def findings(fields: DataFrame, id_col: str, policy: Policy = Policy()) -> DataF
         return F.transform(matches(text, d), row)
 
     each = F.concat(*[rows_of(d) for d in policy.detectors])
-    rows = fields.select(id_col, "field_path", F.explode(each).alias("x"))
+    rows = fields.select(id_col, "field_path", F.explode_outer(each).alias("x")).where("x is not null")
     return rows.select(id_col, "field_path", "x.*").dropDuplicates([id_col, "field_path", "category", "start", "end", "line_number", "evidence_hash"]).withColumn("action", policy.action(F.col("kind")))
 
 
