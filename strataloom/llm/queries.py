@@ -115,9 +115,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from strataloom.plans.corpus_plans import TOKEN_SQL, current_sql
 
-    count = f"len(regexp_extract_all(coalesce({{}}, ''), '{TOKEN_SQL}'))"
+    def count(column: str) -> str:
+        return f"len(regexp_extract_all(coalesce({column}, ''), '{TOKEN_SQL}'))"
+
     return {
         "p2_found": f"""
-            SELECT 'document' AS item_kind, document_id AS item_id FROM {current_sql('norm_documents', 'document_id')} WHERE {count.format('content')} > 512
-            UNION ALL SELECT 'chunk', chunk_id FROM {current_sql('knowledge_chunks', 'chunk_id')} WHERE {count.format('text')} > 512""",
+            SELECT 'document' AS item_kind, document_id AS item_id FROM {current_sql('norm_documents', 'document_id')} WHERE {count('content')} > 512
+            UNION ALL SELECT 'chunk', chunk_id FROM {current_sql('knowledge_chunks', 'chunk_id')} WHERE {count('text')} > 512""",
     }
