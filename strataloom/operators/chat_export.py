@@ -31,17 +31,47 @@ def latest_leaf(mapping: Column) -> Column:
     return F.array_max(F.transform(chosen, lambda e: F.struct(F.coalesce(e.value.message.create_time, F.lit(float("-1e300"))).alias("t"), e.key.alias("id"))))["id"]
 
 
+# What is kept of an asset and of a message's metadata.
+ASSET_SIZES = ["size_bytes", "width", "height"]
+METADATA_KEYS = ["model_slug", "message_type", "finish_details", "attachments", "content_references", "citations"]
+
+
+def _part(part: Column) -> tuple[Column, Column, Column]:
+    """(own text, content type, pointer) of a JSON part; its text is null if it has none."""
+    field = lambda name: F.get_json_object(part, f"$.{name}")
+    own = F.when(~part.startswith("{"), part).otherwise(first_nonempty(field("text"), field("content")))
+    return own, F.coalesce(F.nullif(field("content_type"), F.lit("")), F.lit("unknown")), first_nonempty(field("asset_pointer"), field("image_asset_pointer"), field("file_id"))
+
+
 def part_text(part: Column) -> Column:
     """A text part as it is; of an object its text, else a placeholder of its asset: image before audio before file."""
-    field = lambda name: F.get_json_object(part, f"$.{name}")
-    pointer, kind = first_nonempty(field("asset_pointer"), field("name"), field("file_id")), F.coalesce(field("content_type"), F.lit(""))
-    named = lambda label: F.concat(F.lit(f"[{label}: "), F.coalesce(pointer, F.lit("unnamed")), F.lit("]"))
+    own, kind, pointer = _part(part)
+    named = lambda label, other: F.coalesce(F.concat(F.lit(f"[{label}: "), pointer, F.lit("]")), other)
     return (
-        F.when(~part.startswith("{"), part).when(field("text").isNotNull(), field("text")).when(kind.contains("image"), named("Image")).when(kind.contains("audio"), named("Audio"))
-        .when(kind.contains("file") | pointer.isNotNull(), named("File")).otherwise(F.concat(F.lit("[Unsupported content: "), kind, F.lit("]")))
+        F.when(own.isNotNull(), own).when(kind.contains("image"), named("Image", F.lit("[Image]"))).when(kind.contains("audio"), named("Audio", F.lit("[Audio]")))
+        .when(kind.contains("file") | pointer.isNotNull(), named("File", F.concat(F.lit("[File: "), kind, F.lit("]")))).otherwise(F.concat(F.lit("[Unsupported content: "), kind, F.lit("]")))
     )
 
 
+def part_assets(parts: Column) -> Column:
+    """array<struct<content_type, pointer, size_bytes, width, height>> of the parts that are images, sounds or files; empty for null."""
+
+    def asset(part: Column) -> Column:
+        own, kind, pointer = _part(part)
+        sizes = [F.get_json_object(part, f"$.{c}").try_cast("long").alias(c) for c in ASSET_SIZES]
+        is_asset = own.isNull() & (kind.contains("image") | kind.contains("audio") | kind.contains("file") | pointer.isNotNull())
+        return F.when(is_asset, F.struct(kind.alias("content_type"), pointer.alias("pointer"), *sizes))
+
+    none = F.expr("cast(array() as array<struct<content_type: string, pointer: string, size_bytes: bigint, width: bigint, height: bigint>>)")
+    return F.coalesce(F.filter(F.transform(parts, asset), lambda x: x.isNotNull()), none)
+
+
+def kept_metadata(metadata: Column) -> Column:
+    """map<key, value as JSON> of METADATA_KEYS in a message's metadata (JSON); empty for null or what is no object."""
+    each = F.map_filter(F.from_json(metadata, "map<string,string>"), lambda k, _: k.isin(METADATA_KEYS))
+    return F.coalesce(each, F.expr("cast(map() as map<string, string>)"))
+
+
 def turns_of(nodes: Column) -> Column:
     """Visible turns of (node id, message) structs, in order."""
 
@@ -56,8 +86,9 @@ def turns_of(nodes: Column) -> Column:
 
     return F.transform(
         F.filter(nodes, lambda n: F.coalesce(shown(n), F.lit(False))),
-        lambda n: F.struct(n.node_id.alias("node_id"), n.message.id.alias("message_id"), n.message.author.role.alias("role"), n.message.create_time.alias("create_time"), n.message.content.content_type.alias("content_type"), strip(text(n.message)).alias("text")),
-    )
+        lambda n: F.struct(n.node_id.alias("node_id"), n.message.id.alias("message_id"), n.message.author.role.alias("role"), n.message.create_time.alias("create_time"), n.message.content.content_type.alias("content_type"), strip(text(n.message)).alias("text"),
+                           part_assets(n.message.content.parts).alias("assets"), kept_metadata(n.message.metadata).alias("metadata")),
+    )
 
 
 def normalize(conversations: DataFrame, column: str = "conversation") -> DataFrame:

@@ -270,3 +270,25 @@ def chunk_conversations(turns: DataFrame, conv: str = "conversation_id", pos: st
         F.col("conv").alias(conv), "chunk_index", F.element_at(mine, 1).pos.alias("turn_start"), F.element_at(mine, -1).pos.alias("turn_end"),
         F.greatest(before - F.col("g.first") + 1, F.lit(0)).alias("overlap_pieces"), F.aggregate(mine, F.lit(0), lambda s, x: s + x.tokens).alias("token_count"), F.array_join(mine.piece, "\n\n").alias("text"),
     )
+
+
+def chunk_all(docs: DataFrame, turns: DataFrame, id_col: str = "document_id", source_type: str = "source_type", text_col: str = "content", conv: str = "conversation_id", pos: str = "turn_pos", role: str = "speaker", text: str = "text", config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
+    """Chunks of documents of every source type: conversations by their turns, all else by Markdown structure.
+
+    ``turns``: ``conv`` is the document's id. A conversation without turns is
+    chunked by its content (``conversation_fallback``). Turns of no conversation
+    document are left out. Ids of documents are unique.
+    """
+    strategy = "conversation_turn_window_v1"
+    is_conversation = F.coalesce(F.col(source_type) == "conversation", F.lit(False))
+    talks = docs.where(is_conversation).select(F.col(id_col).alias("_id"))
+    with_turns = turns.join(talks, F.col(conv) == F.col("_id"), "left_semi")
+    spoken = chunk_conversations(with_turns, conv, pos, role, text, config).withColumnRenamed(conv, id_col).withColumn("content_hash", F.sha2("text", 256))
+    spoken = spoken.withColumn("chunk_id", chunk_id(F.col(id_col).cast("string"), strategy, F.col("chunk_index"), F.col("content_hash"))).withColumn("strategy", F.lit(strategy))
+    # One pass over the documents: those that have turns leave, the rest are read as Markdown.
+    said = with_turns.where(strip(F.col(text)) != "").select(F.col(conv).alias("_id")).distinct()
+    rest = docs.join(said, docs[id_col] == F.col("_id"), "left_anti")
+    written = chunk_documents(rest.select(id_col, text_col), id_col, text_col, config).withColumn("strategy", F.lit("markdown_structure_v1"))
+    fallback = docs.where(is_conversation).select(id_col).withColumn("conversation_fallback", F.lit(True))
+    written = written.join(fallback, id_col, "left")
+    return written.unionByName(spoken, allowMissingColumns=True).withColumn("conversation_fallback", F.coalesce("conversation_fallback", F.lit(False)))

@@ -7,8 +7,11 @@ is its gravest action, and only findings with a span can be redacted.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +91,62 @@ def json_fields(docs: DataFrame, id_col: str, column: str, prefix: str = "metada
     return rows.where(~F.lower("key").isin(OPERATIONAL_KEYS) & (F.col("text") != "")).select(id_col, F.concat(F.lit(prefix + "."), "key").alias("field_path"), "text")
 
 
+def _leaves(value: object, path: str = "") -> Iterator[tuple[str, str, str]]:
+    """(path, last key, text) of every string that isn't empty, in order: a.b[0].c."""
+    todo = [(path, "", value)]
+    while todo:
+        at, key, v = todo.pop()
+        if isinstance(v, str):
+            if v:
+                yield at, key, v
+        elif isinstance(v, dict):
+            todo += [(f"{at}.{k}" if at else k, k, x) for k, x in reversed(v.items())]
+        elif isinstance(v, list):
+            todo += [(f"{at}[{i}]", key, x) for i, x in reversed(list(enumerate(v)))]
+
+
+def _json(text: str | None) -> object:
+    try:
+        return json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return None
+
+
+def nested_fields(docs: DataFrame, id_col: str, column: str, prefix: str = "metadata") -> DataFrame:
+    """id, field_path, text of every string leaf of a JSON column at any depth, operational keys left out. What is no JSON gives none."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, path, text) for i, t in zip(b["i"], b["t"]) for path, key, text in _leaves(_json(t), prefix) if key.lower() not in OPERATIONAL_KEYS]
+            yield pd.DataFrame(rows, columns=["i", "field_path", "text"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("i"), F.col(column).alias("t")).mapInPandas(walk, f"i {kind}, field_path string, text string").withColumnRenamed("i", id_col)
+
+
+def put_fields(docs: DataFrame, changed: DataFrame, id_col: str, column: str, prefix: str = "metadata") -> DataFrame:
+    """``docs`` with the string leaves of a JSON column replaced by ``changed`` (id, field_path, text); other rows and leaves stay.
+
+    Ids of documents are unique; of several changes of one leaf the greatest text holds.
+    """
+    one = changed.groupBy(id_col, "field_path").agg(F.max("text").alias("text"))
+    maps = one.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("field_path", "text"))).alias("_changed"))
+
+    @F.pandas_udf("string")
+    def put(text: pd.Series, change: pd.Series) -> pd.Series:
+        def rebuilt(v: object, at: str, new: dict[str, str]) -> object:
+            if isinstance(v, str):
+                return new.get(at, v)
+            if isinstance(v, dict):
+                return {k: rebuilt(x, f"{at}.{k}" if at else k, new) for k, x in v.items()}
+            return [rebuilt(x, f"{at}[{i}]", new) for i, x in enumerate(v)] if isinstance(v, list) else v
+
+        return pd.Series([json.dumps(rebuilt(v, prefix, dict(c)), ensure_ascii=False) if (v := _json(t)) is not None else t for t, c in zip(text, change)], dtype=object)
+
+    both = docs.join(maps, id_col, "left")
+    return both.withColumn(column, F.when(F.col("_changed").isNotNull(), put(F.col(column), F.coalesce("_changed", F.expr("cast(map() as map<string, string>)")))).otherwise(F.col(column))).select(docs.columns)
+
+
 def findings(fields: DataFrame, id_col: str, policy: Policy = Policy()) -> DataFrame:
     """One row a distinct finding: id, field_path, kind, category, action, line_number, start, end (null without a span), evidence_hash."""
     text = F.col("text")

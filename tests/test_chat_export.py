@@ -32,3 +32,13 @@ def test_normalize(spark):
     assert [t.node_id for t in got["chatgpt:c"].turns] == ["flat-0", "flat-1"] and got["chatgpt:c"].updated_at.year == 2033
     assert "chatgpt:e" not in got and len(got) == 4 and any(k.startswith("chatgpt:anonymous-") for k in got)
     assert chat_export.normalize(df.where(F.lit(False))).count() == 0
+
+
+def test_assets_and_metadata(spark):
+    parts = ["text", json.dumps({"content_type": "image_asset_pointer", "asset_pointer": "file-1", "width": 3, "size_bytes": "x"}), json.dumps({"content_type": "audio"}), json.dumps({"content_type": "file"}), json.dumps({"text": "own"}), json.dumps({"a": 1}), None]
+    meta = json.dumps({"model_slug": "m", "citations": [{"a": 1}], "secret": "x"})
+    df = spark.createDataFrame([(1, parts, meta), (2, None, None), (3, [], "[1")], "id int, parts array<string>, meta string")
+    got = {r.id: r for r in df.select("id", F.transform("parts", chat_export.part_text).alias("t"), chat_export.part_assets(F.col("parts")).alias("a"), chat_export.kept_metadata(F.col("meta")).alias("m")).collect()}
+    assert got[1].t[:6] == ["text", "[Image: file-1]", "[Audio]", "[File: file]", "own", "[Unsupported content: unknown]"]
+    assert [tuple(x) for x in got[1].a] == [("image_asset_pointer", "file-1", None, 3, None), ("audio", None, None, None, None), ("file", None, None, None, None)]
+    assert got[1].m == {"model_slug": "m", "citations": '[{"a":1}]'} and got[2].a == got[3].a == [] and got[2].m == got[3].m == {}

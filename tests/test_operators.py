@@ -113,6 +113,36 @@ def test_operational_fields_are_skipped(spark):
     assert [r.field_path for r in sec.json_fields(docs, "id", "m").collect()] == ["metadata.note"]
 
 
+def test_nested_fields_round_trip(spark):
+    value = {"note": "a@b.co", "deep": [{"x": ["", "c@d.co"]}, 5, None], "id": "x@y.co"}
+    docs = spark.createDataFrame([(1, json.dumps(value), "k"), (2, "{", "k"), (3, None, "k")], "id long, m string, other string")
+    got = sec.nested_fields(docs, "id", "m")
+    assert [(r.id, r.field_path, r.text) for r in got.collect()] == [(1, "metadata.note", "a@b.co"), (1, "metadata.deep[0].x[1]", "c@d.co")]
+    back = {r.id: r.m for r in sec.put_fields(docs, got.withColumn("text", sec.redact(F.col("text"), sec.DETECTORS)), "id", "m").collect()}
+    assert json.loads(back[1]) == {"note": "[PII:EMAIL_ADDRESS]", "deep": [{"x": ["", "[PII:EMAIL_ADDRESS]"]}, 5, None], "id": "x@y.co"} and back[2] == "{" and back[3] is None
+    assert sec.nested_fields(docs.limit(0), "id", "m").count() == 0
+
+
+def test_chunk_all(spark):
+    docs = spark.createDataFrame([("c", "conversation", "whole"), ("e", "conversation", "# Export\n\nonly content"), ("d", "document", "plain text"), ("n", None, "no type")], "document_id string, source_type string, content string")
+    turns = spark.createDataFrame([("c", 0, "user", "hello"), ("c", 1, "assistant", "hi"), ("d", 0, "user", "not a conversation"), ("e", 0, "user", " ")], "conversation_id string, turn_pos long, speaker string, text string")
+    got = {r.document_id: r for r in chunking.chunk_all(docs, turns).collect()}
+    assert {k: (r.strategy[:8], r.conversation_fallback) for k, r in got.items()} == {"c": ("conversa", False), "e": ("markdown", True), "d": ("markdown", False), "n": ("markdown", False)}
+    assert got["c"].text == "## User\n\nhello\n\n## Assistant\n\nhi" and got["c"].chunk_id.startswith("c:chunk:") and got["c"].turn_end == 1
+
+
+def test_tool_results(spark):
+    payload = json.dumps({"results": [{"chunk_id": "a"}, {"chunk_id": "b"}]})
+    text = lambda t: {"type": "text", "text": t}
+    contents = [
+        [{"type": "tool-result", "content": [text(payload), text("not json"), {"type": "image"}]}, text(json.dumps({"results": [{"chunk_id": "c"}]}))],
+        [{"type": "tool-result", "isError": True, "content": [text(payload)]}], [text(json.dumps({"results": "x"})), text("[]"), 7], "plain", None,
+    ]
+    log = spark.createDataFrame([(i, json.dumps({"data": {"message": {"content": c}}})) for i, c in enumerate(contents)] + [(9, None), (10, "{")], "call int, record string")
+    got = audit.tool_results(log, "record", "call").collect()
+    assert [(r.call, r.payload, json.loads(r.result)["chunk_id"]) for r in got] == [(0, 0, "a"), (0, 0, "b"), (0, 1, "c")]
+
+
 def test_metrics_and_fusion(spark):
     rows = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0]), ("d", [1.0])]
     ix = spark.createDataFrame(rows, "chunk_id string, vector array<double>")
