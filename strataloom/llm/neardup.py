@@ -271,6 +271,7 @@ def near_duplicates(deliveries: DataFrame, config: NearDupConfig = NearDupConfig
     texts are in neither. Repeated rows are one item; other columns are ignored;
     empty tables give empty results.
     """
+    deliveries = deliveries.select("item_kind", "item_id", "text", "arrived_at")
     hashed = deliveries.select("item_kind", "item_id", "arrived_at", word_hashes(F.col("text")).alias("hashes"))
     schema = "item_kind string, item_id string, arrived_at timestamp, n int, set1 long, set2 long, fp long, bands array<long>"
     sketched = hashed.mapInArrow(lambda b: sketch_batches(b, config), schema)
