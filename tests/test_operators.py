@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strataloom.functions.network import is_private_ipv4
 from strataloom.functions.text import clean_list, epoch_to_timestamp, normalize_extension, slug
 from strataloom.functions.tokens import token_count
-from strataloom.operators import audit, chunking, filters, presentation, retrieval
+from strataloom.operators import audit, chunking, embedding, filters, presentation, retrieval
 from strataloom.operators import security as sec
 from strataloom.operators.current import current_rows
 from strataloom.operators.ranking import positions
@@ -213,3 +213,26 @@ def test_upsert_and_stream(spark, tmp_path):
     spark.createDataFrame([("a", 2, "2021-01-01")], "k string, v int, at string").select("k", "v", F.col("at").cast("timestamp").alias("arrived_at")).write.mode("append").parquet(src)
     ingest.stream_current(spark, src, df.schema, out, check, ["k"]).awaitTermination()
     assert sorted((r.k, r.v) for r in ingest.latest(spark, out).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_embed(spark):
+    config = embedding.EmbeddingConfig(dimension=2, batch_size=3)
+
+    def factory():
+        def model(texts, length):
+            assert len(texts) <= 3 and length == 512
+            return [[len(t), 1.0] for t in texts]
+
+        return model
+
+    df = spark.createDataFrame([(i, "x" * (i + 1)) for i in range(20)], "id long, text string")
+    assert all(r.vector == [r.id + 1, 1.0] for r in embedding.embed(df, F.col("text"), factory, config).collect())
+    assert embedding.embed(df.limit(0), F.col("text"), factory, config).count() == 0
+    with pytest.raises(Exception, match="null or blank"):
+        embedding.embed(df.withColumn("text", F.lit(" ")), F.col("text"), factory, config).collect()
+
+
+@pytest.mark.parametrize("vectors", [[], [[1.0]], [[1.0, float("nan")]], [[1.0, True]], [[1.0, 2.0], [1.0, 2.0]]])
+def test_wrong_vectors(vectors):
+    with pytest.raises(ValueError):
+        embedding.checked_vectors(vectors, 1, 2)
