@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import epoch_to_timestamp, strip
+from strataloom.operators import chunking
 from strataloom.operators import security as sec
 from strataloom.operators.current import current_rows
+from strataloom.operators.ranking import positions
 from strataloom.plans.corpus_plans import SPACE_SQL, current_sql, strip_sql
 from strataloom.plans.tables import table
 from strataloom.sources import index, raw_store
@@ -101,6 +103,22 @@ def redact_email(spark: SparkSession, d: str) -> DataFrame:
     return clean.select("doc_id", (F.col("clean") != F.col("text")).alias("redacted"), F.sha2("clean", 256).alias("content_hash"))
 
 
+def metadata_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every string in the metadata of the current documents, at any depth, with its path."""
+    docs = current_rows(table(spark, d, "norm_documents"), ["document_id"], ["metadata"])
+    return sec.nested_fields(docs, "document_id", "metadata").select("document_id", "field_path", F.sha2("text", 256).alias("text_hash"))
+
+
+def auto_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all current documents: conversations by their visible turns in time order, the others by structure."""
+    docs = current_rows(table(spark, d, "norm_documents"), ["document_id"], ["content", F.col("source.source_type").alias("source_type"), F.col("source.source_id").alias("source_id")])
+    owner = docs.where("source_type = 'conversation'").select("document_id", F.col("source_id").alias("conversation_id"))
+    said = _messages(spark, d).where(visible()).select("conversation_id", "node_id", F.coalesce("create_time", F.lit(0.0)).alias("t"), F.col("role").alias("speaker"), "text")
+    turns = positions(said.join(owner, "conversation_id").drop("conversation_id"), "document_id", ["t", "node_id"], "turn_pos")
+    chunks = chunking.chunk_all(docs, turns, conv="document_id")
+    return chunks.select("document_id", "chunk_id", "chunk_index", "strategy", "conversation_fallback", "token_count", F.sha2("text", 256).alias("text_hash"))
+
+
 def index_rows(spark: SparkSession, d: str) -> DataFrame:
     cols = ["document_id", "chunk_index", "text", "source", "title", "section_path", "token_count", "domain", "project", "security"]
     rows = index.index_rows(current_rows(table(spark, d, "knowledge_chunks"), ["chunk_id"], cols))
@@ -163,6 +181,11 @@ QUERIES = {
     "scan_summary": (scan_summary, f"SELECT decision, count(*) AS documents, sum(finding_count) AS findings FROM ({_DECISION_SQL}) GROUP BY 1"),
     "redact_email": (redact_email, f"""
         SELECT doc_id, clean <> text AS redacted, sha256(clean) AS content_hash FROM (SELECT doc_id, text, regexp_replace(text, '{sec.EMAIL.pattern}', '[PII:EMAIL_ADDRESS]', 'g') AS clean FROM documents WHERE text IS NOT NULL)"""),
+    "auto_chunks": (auto_chunks, None),
+    "metadata_fields": (metadata_fields, f"""
+        SELECT document_id, replace(concat('metadata', substr(fullkey, 2)), '"', '') AS field_path, sha256(json_extract_string(atom, '$')) AS text_hash
+        FROM {current_sql('norm_documents', 'document_id')} n, json_tree(CASE WHEN json_valid(n.metadata) THEN n.metadata END) t
+        WHERE t.type = 'VARCHAR' AND json_extract_string(atom, '$') <> '' AND lower(regexp_extract(fullkey, '([^.\\[\\]"]+)"?(\\[[0-9]+\\])*$', 1)) NOT IN ({", ".join(f"'{k}'" for k in sec.OPERATIONAL_KEYS)})"""),
     "index_rows": (index_rows, f"""
         SELECT chunk_id, document_id, sha256(text) AS text_hash, coalesce(security.tenant_id, 'default') AS tenant_id, coalesce(domain, '') AS domain, coalesce(project, '') AS project, coalesce(security.classification, 'internal') AS classification,
           coalesce(source.source_type, '') AS source_type, coalesce(source.provider, '') AS provider, coalesce(source.source_id, '') AS source_id FROM {current_sql('knowledge_chunks', 'chunk_id')}"""),
