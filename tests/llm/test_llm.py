@@ -282,6 +282,8 @@ def test_mentions_and_redaction(spark, field):
     clean = {int(r.item_id): r.redacted_text for r in P.redacted(found).collect()}
     assert clean[0] == "😀 Please write to [EMAIL] or call [PHONE]." and clean[1] == "" and clean[2] is None and clean[3] == texts[3]
     assert P.find(df.limit(0), crf, lexicon, config).count() == 0
+    odd = spark.createDataFrame([(None, None, None, None), ("chunk", "a", texts[0], 1), ("chunk", "a", texts[0], 1)], df.schema)
+    assert sorted(len(r.mentions) for r in P.find(odd, crf, lexicon, config).collect()) == [0, 2, 2]
 
 
 @pytest.mark.parametrize("text, kind, value", [
