@@ -33,8 +33,9 @@ WORD_RE = r"[㐀-鿿]|[\p{L}\p{N}&&[^㐀-鿿]]+"
 class NearDupConfig:
     """``distance``: of 64 bits, that two fingerprints may differ in; at a similarity of 0.7 a pair exceeds 20 once in some
     thousands. ``bands`` of ``band_rows`` min-hashes: at 0.7 all bands miss a pair once in 350, at 0.75 once in 2000.
-    ``bucket_rows``: classes of one key that a task takes at once. ``expand``: members up to which a class's copies come out
-    as all pairs; of a larger class each member is paired with its representative, and only that with other classes."""
+    ``bucket_rows``: classes of one key that a task takes at once. ``block_rows``: members of a class that are paired at once.
+    ``expand``: unless None, of more copies than that of one text (byte by byte) each is paired with the least id, and only
+    that with other texts; pairs of different texts all come out."""
 
     words: int = 5
     similarity: float = 0.8
@@ -43,7 +44,8 @@ class NearDupConfig:
     band_rows: int = 3
     distance: int = 20
     bucket_rows: int = 8192
-    expand: int = 1000
+    block_rows: int = 1000
+    expand: int | None = None
     seed: int = 3
 
 
@@ -264,18 +266,18 @@ def _texts_of(deliveries: DataFrame, readers: DataFrame) -> DataFrame:
 def near_duplicates(deliveries: DataFrame, config: NearDupConfig = NearDupConfig()) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the current rows of ``deliveries`` (item_kind, item_id, text, arrived_at).
 
-    ``members``: item_kind, item_id, cid, representative (the least id of the
-    class) and members (of the class), for every text of at least ``min_words``
-    words; ``links``: item_kind, cid_a, cid_b, similarity, for every two classes
+    ``members``: item_kind, item_id, cid, copy (a hash of the text: equal for
+    copies), representative (the least id of the class) and members (of the
+    class), for every text of at least ``min_words`` words; ``links``: item_kind, cid_a, cid_b, similarity, for every two classes
     of a kind with a similarity of at least ``similarity``. Null, empty and short
     texts are in neither. Repeated rows are one item; other columns are ignored;
     empty tables give empty results.
     """
     deliveries = deliveries.select("item_kind", "item_id", "text", "arrived_at")
-    hashed = deliveries.select("item_kind", "item_id", "arrived_at", word_hashes(F.col("text")).alias("hashes"))
-    schema = "item_kind string, item_id string, arrived_at timestamp, n int, set1 long, set2 long, fp long, bands array<long>"
+    hashed = deliveries.select("item_kind", "item_id", "arrived_at", F.xxhash64("text").alias("copy"), word_hashes(F.col("text")).alias("hashes"))
+    schema = "item_kind string, item_id string, arrived_at timestamp, copy long, n int, set1 long, set2 long, fp long, bands array<long>"
     sketched = hashed.mapInArrow(lambda b: sketch_batches(b, config), schema)
-    current = current_rows(sketched, ["item_kind", "item_id"], ["n", "set1", "set2", "fp", "bands"]).where("n > 0")
+    current = current_rows(sketched, ["item_kind", "item_id"], ["copy", "n", "set1", "set2", "fp", "bands"]).where("n > 0")
     current = materialize(current.withColumn("cid", F.xxhash64("item_kind", "set1", "set2", "n")).drop("set1", "set2"), "sketches")
     # Bands of documents and of chunks don't meet: the kind is part of the key.
     of_kind = current.withColumn("bands", F.transform("bands", lambda x: F.xxhash64(x, "item_kind")))
@@ -297,22 +299,45 @@ def near_duplicates(deliveries: DataFrame, config: NearDupConfig = NearDupConfig
     sets = materialize(_texts_of(deliveries, readers).select("cid", word_hashes(F.col("text")).alias("h")).mapInArrow(to_sets, "cid long, shingles array<int>"), "sets")
     kinds = readers.select("cid", "item_kind")
     links = _checked(pairs, sets, config.similarity).join(kinds, F.col("cid_a") == kinds.cid).select("item_kind", "cid_a", "cid_b", "similarity")
-    members = current.select("item_kind", "item_id", "cid").join(classes.select("cid", "representative", "members"), "cid")
+    members = current.select("item_kind", "item_id", "cid", "copy").join(classes.select("cid", "representative", "members"), "cid")
     return members, links
 
 
 def pairs_of_ids(members: DataFrame, links: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """item_kind, id_a, id_b (the smaller first): the links between items, and copies as ``expand`` says."""
+    """item_kind, id_a, id_b (the smaller first): the links between items, and the pairs inside classes (copies as ``expand`` says).
+
+    A class is cut into blocks of about ``block_rows`` members, and every two blocks meet under a key of their own.
+    """
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = materialize(links, "links")
     touched = links.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct().withColumn("linked", F.lit(True))
     members = materialize(members.join(touched, "cid", "left").where("linked or members > 1").drop("linked"), "members")
-    crowd = F.col("members") > config.expand
-    shown = members.where(~crowd | (F.col("item_id") == F.col("representative"))).select("item_kind", "cid", "item_id")
-    a = shown.select("item_kind", F.col("cid").alias("cid_a"), F.col("item_id").alias("a"))
-    b = shown.select("item_kind", F.col("cid").alias("cid_b"), F.col("item_id").alias("b"))
-    across = links.select("item_kind", "cid_a", "cid_b").join(a, ["item_kind", "cid_a"]).join(b, ["item_kind", "cid_b"]).select("item_kind", "a", "b")
-    several = members.where("members > 1")
-    few = several.where(~crowd)
-    inside = few.select("item_kind", "cid", F.col("item_id").alias("a")).join(few.select("item_kind", "cid", F.col("item_id").alias("b")), ["item_kind", "cid"]).where("a < b").select("item_kind", "a", "b")
-    star = several.where(crowd & (F.col("item_id") != F.col("representative"))).select("item_kind", F.col("representative").alias("a"), F.col("item_id").alias("b"))
-    return across.unionByName(inside).unionByName(star).select("item_kind", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    shown = members.select("item_kind", "cid", "item_id", "members")
+    if config.expand is not None:
+        crowds = members.groupBy("item_kind", "cid", "copy").agg(F.min("item_id").alias("first"), F.count("*").alias("copies")).where(F.col("copies") > config.expand)
+        marked = members.join(crowds.drop("copies"), ["item_kind", "cid", "copy"], "left")
+        shown = marked.where("first is null or item_id = first").select("item_kind", "cid", "item_id", "members")
+        star = marked.where("item_id <> first").select("item_kind", F.col("first").alias("a"), F.col("item_id").alias("b"))
+    blocks = F.ceil(F.col("members") / config.block_rows)
+    placed = shown.select("item_kind", "cid", "item_id", "members", blocks.alias("blocks"), F.pmod(F.xxhash64("item_id"), blocks).alias("block"))
+    large = members.where(F.col("members") > config.block_rows).select("cid", blocks.alias("blocks")).distinct()
+
+    def side(df: DataFrame, x: str) -> DataFrame:  # each link once for every block of the class on this side
+        cut = df.join(large.withColumnRenamed("cid", f"cid_{x}"), f"cid_{x}", "left")
+        return cut.withColumn(f"block_{x}", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+
+    def items(x: str) -> DataFrame:
+        return placed.select("item_kind", F.col("cid").alias(f"cid_{x}"), F.col("block").alias(f"block_{x}"), F.col("item_id").alias(x))
+
+    keys = ["item_kind", "cid_a", "block_a", "cid_b", "block_b"]
+    met = side(side(links.select("item_kind", "cid_a", "cid_b"), "a"), "b")
+    ends = [met.join(items(x), ["item_kind", f"cid_{x}", f"block_{x}"]).select(*keys, x).repartition(tasks, *keys) for x in "ab"]
+    across = ends[0].join(ends[1], keys).select("item_kind", "a", "b")
+    several = placed.where("members > 1")
+    inner = ["item_kind", "cid", "low", "high"]
+    low = several.select("item_kind", "cid", F.col("block").alias("low"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("high"), F.col("item_id").alias("a")).repartition(tasks, *inner)
+    high = several.select("item_kind", "cid", F.explode(F.expr("sequence(0L, block)")).alias("low"), F.col("block").alias("high"), F.col("item_id").alias("b")).repartition(tasks, *inner)
+    out = across.unionByName(low.join(high, inner).where("low < high or a < b").select("item_kind", "a", "b"))
+    if config.expand is not None:
+        out = out.unionByName(star)
+    return out.select("item_kind", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))

@@ -218,6 +218,30 @@ def test_large_class_is_a_star(spark):
     assert N.near_duplicates(df.limit(0), config)[0].count() == 0
 
 
+def test_large_classes_keep_all_pairs(spark):
+    """Above 1,000 members too, and above a block: texts of one shingle set, and an edited text beside them."""
+    rng = random.Random(4)
+    words = _words(60, rng)
+    edited = [*words[:30], "edit", *words[31:]]
+    marks = [" ", ", ", "; ", " - "]
+    rows = [("chunk", f"m{i:04d}", marks[i % 4].join(words)) for i in range(1003)] + [("chunk", "e1", " ".join(edited)), ("chunk", "e2", ", ".join(edited))]
+    df = spark.createDataFrame(rows, "item_kind string, item_id string, text string").withColumn("arrived_at", F.lit("2024-01-01").cast("timestamp"))
+    config = N.NearDupConfig(words=3, similarity=0.7, min_words=20)
+    members, links = N.near_duplicates(df, config)
+    for rows_at_once in (1000, 100):
+        got = [(r.id_a, r.id_b) for r in N.pairs_of_ids(members, links, N.NearDupConfig(words=3, similarity=0.7, min_words=20, block_rows=rows_at_once)).collect()]
+        ids = sorted(r[1] for r in rows)
+        assert len(got) == len(set(got)) and set(got) == {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :]}
+
+
+def test_star_joins_copies_only(spark):
+    rows = [("chunk", f"i{i}", mark.join(["some", "words", "again"] * 10)) for i, mark in enumerate([" "] * 8 + [", "] * 2)]
+    df = spark.createDataFrame(rows, "item_kind string, item_id string, text string").withColumn("arrived_at", F.lit("2024-01-01").cast("timestamp"))
+    config = N.NearDupConfig(expand=5)
+    got = sorted((r.id_a, r.id_b) for r in N.pairs_of_ids(*N.near_duplicates(df, config), config).collect())
+    assert got == [("i0", f"i{i}") for i in range(1, 10)] + [("i8", "i9")]
+
+
 def test_gray_index_has_every_pair():
     rng = np.random.default_rng(0)
     fp = rng.integers(0, 2**63, 700, dtype=np.uint64)
