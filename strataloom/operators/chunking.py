@@ -12,11 +12,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import strip
 from strataloom.functions.tokens import token_count
+from strataloom.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -61,13 +63,13 @@ def parse_blocks(text: str) -> list[tuple[str, list[str], str]]:
         return "table" if len(rows) > 1 and "|" in rows[0] and "|" in rows[1] else "text"
 
     for line in re.split(r"\r\n|\r|\n", text):
-        mark = _FENCE.match(line)
+        mark = _FENCE.match(line) if "```" in line or "~~~" in line else None
         if fence:
             held.append(line)
             if mark and mark[1] == fence:
                 put("code")
                 fence, held_path = "", path
-        elif head := _HEADING.match(line):
+        elif head := line.startswith("#") and _HEADING.match(line):
             put("text")
             path = [*path[: len(head[1]) - 1], head[2].strip()]
             held_path = path
@@ -90,7 +92,7 @@ def parse_blocks(text: str) -> list[tuple[str, list[str], str]]:
 def fit(text: str, limit: int) -> list[str]:
     """Pieces of at most ``limit`` tokens: of lines, else of sentences, else of words, else of characters."""
     text = text.strip()
-    if len(_TOKEN.findall(text)) <= limit:
+    if len(text) <= limit or len(_TOKEN.findall(text)) <= limit:  # a token has a character at least
         return [text] if text else []
     lines = text.splitlines()
     if len(lines) > 1:
@@ -231,7 +233,9 @@ def render_turn(role: Column, text: Column) -> Column:
 def chunk_conversations(turns: DataFrame, conv: str = "conversation_id", pos: str = "turn_pos", role: str = "speaker", text: str = "text", config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
     """Chunks of whole turns with whole-turn overlap: id, chunk_index, turn_start, turn_end, overlap_turns, token_count, text.
 
-    A turn above the limit is cut, each piece under the turn's heading.
+    A turn above the limit is cut, each piece under the turn's heading. A
+    conversation may be of any size: only the numbers of its pieces pass through
+    one task, in order, and their texts come together by chunk.
     """
     limit = config.max_tokens
 
@@ -245,31 +249,48 @@ def chunk_conversations(turns: DataFrame, conv: str = "conversation_id", pos: st
             yield pd.DataFrame(out, columns=["conv", "pos", "part", "piece"])
 
     pieces = turns.select(conv, pos, role, text).mapInPandas(cut, "conv string, pos long, part int, piece string")
-    counted = pieces.withColumn("tokens", token_count(F.col("piece")).cast("int"))
-    gathered = counted.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "piece", "tokens"))).alias("p"))
-    empty = F.expr("cast(array() as array<struct<first: int, last: int>>)")
-    state = F.struct(empty.alias("done"), F.lit(0).alias("first"), F.lit(0).alias("used"))
-
-    def step(s: Column, i: Column) -> Column:
-        n = F.element_at("p", i + 1).tokens
-        last_turn = F.element_at("p", i).pos
-        held = F.slice("p", s.first + 1, F.greatest(i - s.first, F.lit(0)))
-        tail = F.filter(held, lambda x: x.pos > last_turn - config.overlap_turns)
-        tail_tokens = F.aggregate(tail, F.lit(0), lambda a, x: a + x.tokens)
-        keep = F.when(tail_tokens + n <= limit, F.size(tail)).otherwise(0)
-        full = (i > s.first) & (s.used + n > limit)
-        return F.when(full, F.struct(F.concat(s.done, F.array(F.struct(s.first.alias("first"), (i - 1).alias("last")))).alias("done"), (i - keep).alias("first"), (F.when(keep > 0, tail_tokens).otherwise(0) + n).alias("used"))).otherwise(
-            F.struct(s.done.alias("done"), s.first.alias("first"), (s.used + n).alias("used"))
-        )
-
-    groups = F.aggregate(F.sequence(F.lit(0), F.size("p") - 1), state, step, lambda s: F.concat(s.done, F.array(F.struct(s.first.alias("first"), (F.size("p") - 1).alias("last")))))
-    rows = gathered.where(F.size("p") > 0).select("conv", "p", groups.alias("all")).select("conv", "p", "all", F.posexplode_outer("all").alias("chunk_index", "g")).where("chunk_index is not null")
-    mine = F.slice("p", F.col("g.first") + 1, F.col("g.last") - F.col("g.first") + 1)
-    before = F.when(F.col("chunk_index") > 0, F.element_at("all", F.col("chunk_index")).last).otherwise(-1)
-    return rows.select(
-        F.col("conv").alias(conv), "chunk_index", F.element_at(mine, 1).pos.alias("turn_start"), F.element_at(mine, -1).pos.alias("turn_end"),
-        F.greatest(before - F.col("g.first") + 1, F.lit(0)).alias("overlap_pieces"), F.aggregate(mine, F.lit(0), lambda s, x: s + x.tokens).alias("token_count"), F.array_join(mine.piece, "\n\n").alias("text"),
+    pieces = materialize(pieces.withColumns({"tokens": token_count(F.col("piece")).cast("int"), "id": F.monotonically_increasing_id()}), "pieces")
+    # Equal positions go by the hash of their pieces.
+    order = pieces.select("conv", "pos", "part", F.xxhash64("piece").alias("h"), "id", "tokens").repartition("conv").sortWithinPartitions("conv", "pos", "part", "h", "id")
+    placed = order.select("conv", "pos", "id", "tokens").mapInArrow(lambda b: pack_turns(b, limit, config.overlap_turns), "conv string, chunk_index int, place int, overlap boolean, id long")
+    rows = placed.join(pieces.select("id", "pos", "piece", "tokens"), "id").groupBy("conv", "chunk_index").agg(
+        F.min("pos").alias("turn_start"), F.max("pos").alias("turn_end"), F.count_if("overlap").cast("int").alias("overlap_pieces"), F.sum("tokens").cast("int").alias("token_count"),
+        F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("mine"),
     )
+    return rows.select(F.col("conv").alias(conv), "chunk_index", "turn_start", "turn_end", "overlap_pieces", "token_count", F.array_join("mine.piece", "\n\n").alias("text"))
+
+
+def pack_turns(batches: Iterator[pa.RecordBatch], limit: int, overlap_turns: int) -> Iterator[pa.RecordBatch]:
+    """conv, chunk_index, place, overlap, id of each piece in each chunk, of rows (conv, pos, id, tokens) that come sorted. Only the open chunk is held."""
+    held: list[tuple[int, int, int]] = []  # pos, id, tokens
+    now, index, used, kept = None, 0, 0, 0
+    out: list[tuple] = []
+
+    def close() -> None:
+        out.extend((now, index, k, k < kept, x[1]) for k, x in enumerate(held))
+
+    def batch() -> pa.RecordBatch:
+        done = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()))], names=["conv", "chunk_index", "place", "overlap", "id"])
+        out.clear()
+        return done
+
+    for b in batches:
+        for c, pos, i, n in zip(*[x.to_pylist() for x in b.columns]):
+            if c != now:
+                close()
+                now, index, used, kept, held = c, 0, 0, 0, []
+            if held and used + n > limit:
+                close()
+                held = [x for x in held if x[0] > held[-1][0] - overlap_turns]
+                used = sum(x[2] for x in held)
+                if used + n > limit:
+                    used, held = 0, []
+                index, kept = index + 1, len(held)
+            held.append((pos, i, n))
+            used += n
+        yield batch()
+    close()
+    yield batch()
 
 
 def chunk_all(docs: DataFrame, turns: DataFrame, id_col: str = "document_id", source_type: str = "source_type", text_col: str = "content", conv: str = "conversation_id", pos: str = "turn_pos", role: str = "speaker", text: str = "text", config: ChunkingConfig = ChunkingConfig()) -> DataFrame:

@@ -9,7 +9,7 @@ from strataloom.functions.text import epoch_to_timestamp, strip
 from strataloom.operators import chunking
 from strataloom.operators import security as sec
 from strataloom.operators.current import current_rows
-from strataloom.operators.ranking import positions
+from strataloom.operators.ranking import ordered_hash, positions
 from strataloom.plans.corpus_plans import SPACE_SQL, current_sql, strip_sql
 from strataloom.plans.tables import table
 from strataloom.sources import index, raw_store
@@ -47,11 +47,11 @@ def role_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
-    """Visible turns of each conversation in time order, as one hashed text, with their span. Turns of a conversation are gathered as short digests."""
-    each = _messages(spark, d).where(visible()).select("conversation_id", "node_id", F.coalesce("create_time", F.lit(0.0)).alias("t"), F.sha2(F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), strip(F.col("text"))), 256).alias("h"))
-    return each.groupBy("conversation_id").agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "node_id", "h"))), lambda x: x.h), "\n"), 256).alias("transcript_hash"), F.count("*").alias("turns"), F.min("t").alias("first_time"), F.max("t").alias("last_time")
-    )
+    """Visible turns of each conversation in time order, as one hashed text, with their span. Turns of a conversation are hashed one after another as short digests."""
+    said = F.unhex(F.sha2(F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), strip(F.col("text"))), 256))
+    each = _messages(spark, d).where(visible()).select("conversation_id", "node_id", F.coalesce("create_time", F.lit(0.0)).alias("t"), said.alias("h"))
+    hashed = ordered_hash(each, "conversation_id", "t", "node_id", "h")
+    return hashed.select(F.col("g").alias("conversation_id"), F.col("hash").alias("transcript_hash"), F.col("n").alias("turns"), F.col("first_at").alias("first_time"), F.col("last_at").alias("last_time"))
 
 
 def latest_leaf(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,10 @@
 """Operators on small rows: cases that the given tables don't have."""
 
+import hashlib
 import json
+import os
+import random
+import re
 import zipfile
 
 import pytest
@@ -12,7 +16,8 @@ from strataloom.functions.tokens import token_count
 from strataloom.operators import audit, chunking, embedding, filters, presentation, retrieval
 from strataloom.operators import security as sec
 from strataloom.operators.current import current_rows
-from strataloom.operators.ranking import positions
+from strataloom.operators.ranking import ordered_hash, positions
+from strataloom.plans import ingest_plans
 from strataloom.sources import files, index, raw_store
 from strataloom.streaming import ingest
 
@@ -96,6 +101,56 @@ def test_turn_chunks(spark):
     assert any(r.overlap_pieces == 1 for r in got if r.conversation_id == "c")
 
 
+def _whole_groups(df):
+    """Lists of a plan that gather all rows of a conversation."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [x for x in re.findall(r"Aggregate \[([^\]]*)\][^\n]*collect_list", plan) if "chunk_index" not in x]
+
+
+def test_turn_chunks_of_a_long_conversation(spark):
+    """No list of a whole conversation, and what a plain loop gives, over many Arrow batches."""
+    rng = random.Random(9)
+    turns = [(c, i, rng.choice(["user", "assistant"]), " ".join(["w"] * rng.choice([1, 3, 8, 30]))) for c, n in (("a", 300), ("b", 1), ("c", 40)) for i in range(n)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for overlap in (0, 1, 2):
+            df = chunking.chunk_conversations(spark.createDataFrame(turns, "conversation_id string, turn_pos long, speaker string, text string"), config=chunking.ChunkingConfig(20, 0, overlap))
+            assert _whole_groups(df) == []
+            want = set()
+            for c in "abc":
+                chunks, held = [], []
+                for _, pos, who, text in (t for t in turns if t[0] == c):
+                    for piece in chunking.fit(text, 20 - 3):
+                        n = 3 + len(piece.split())
+                        if held and sum(x[1] for x in held) + n > 20:
+                            chunks.append(held)
+                            held = [(*x[:3], True) for x in held if x[0] > held[-1][0] - overlap]
+                            held = held if sum(x[1] for x in held) + n <= 20 else []
+                        held = [*held, (pos, n, f"## {who.title()}\n\n{piece}", False)]
+                chunks.append(held)
+                want |= {(c, k, x[0][0], x[-1][0], sum(p[3] for p in x), sum(p[1] for p in x), "\n\n".join(p[2] for p in x)) for k, x in enumerate(chunks)}
+            got = [tuple(r) for r in df.collect()]
+            assert len(got) == len(want) and set(got) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_ordered_hash(spark):
+    rows = [(g, float(i // 2), f"n{i:03d}", bytes([i % 256]) * 32) for g, n in (("a", 100), ("b", 1)) for i in range(n)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {tuple(r) for r in ordered_hash(spark.createDataFrame(rows[::-1], "g string, t double, node string, h binary"), "g", "t", "node", "h").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(g, hashlib.sha256("\n".join(r[3].hex() for r in rows if r[0] == g).encode()).hexdigest(), n, 0.0, float((n - 1) // 2)) for g, n in (("a", 100), ("b", 1))}
+
+
+def test_transcripts_gather_no_conversation(spark):
+    assert _whole_groups(ingest_plans.transcripts(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))) == []
+
+
 def test_security(spark):
     rows = [(1, "token = sk-test-secret"), (2, "Contact alice@example.com, 10.0.0.7 and /etc/hosts"), (3, "DNS 8.8.8.8"), (4, None), (5, "a@b.co a@b.co")]
     docs = spark.createDataFrame(rows, "id long, content string")
