@@ -12,6 +12,7 @@ from strataloom.operators.current import current_rows
 from strataloom.operators.ranking import ordered_hash, positions
 from strataloom.plans.corpus_plans import SPACE_SQL, current_sql, strip_sql
 from strataloom.plans.tables import table
+from strataloom.scratch import materialize
 from strataloom.sources import index, raw_store
 
 HIDDEN = "('thoughts', 'reasoning_recap', 'user_editable_context', 'model_editable_context')"
@@ -96,6 +97,14 @@ def scan_summary(spark: SparkSession, d: str) -> DataFrame:
     return scan_decision(spark, d).groupBy("decision").agg(F.count("*").alias("documents"), F.sum("finding_count").alias("findings"))
 
 
+def document_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Decision on each current document: all scanned fields under the default policy."""
+    cols = ["content", "title", "author", "metadata", F.col("source.metadata").alias("source_metadata")]
+    docs = materialize(current_rows(table(spark, d, "norm_documents"), ["document_id"], cols), "documents")
+    found = sec.findings(sec.document_fields(docs), "document_id")
+    return sec.decisions(docs, found, "document_id").withColumn("categories", F.array_join("categories", ","))
+
+
 def redact_email(spark: SparkSession, d: str) -> DataFrame:
     """Texts without their e-mail addresses; a new hash where one was replaced."""
     docs = table(spark, d, "documents").where("text is not null")
@@ -179,6 +188,7 @@ QUERIES = {
     "context_findings_path": (findings_of(sec.UNIX_PATH), _finding_sql(sec.UNIX_PATH.pattern, "context:local_path", "mark")),
     "scan_decision": (scan_decision, _DECISION_SQL),
     "scan_summary": (scan_summary, f"SELECT decision, count(*) AS documents, sum(finding_count) AS findings FROM ({_DECISION_SQL}) GROUP BY 1"),
+    "document_scan": (document_scan, None),
     "redact_email": (redact_email, f"""
         SELECT doc_id, clean <> text AS redacted, sha256(clean) AS content_hash FROM (SELECT doc_id, text, regexp_replace(text, '{sec.EMAIL.pattern}', '[PII:EMAIL_ADDRESS]', 'g') AS clean FROM documents WHERE text IS NOT NULL)"""),
     "auto_chunks": (auto_chunks, None),

@@ -163,6 +163,25 @@ def test_security(spark):
         sec.Policy(secret="redact")
 
 
+def test_default_policy_scans_all_fields(spark):
+    """Against the blueprint's patterns by a plain loop: spans, boundaries, Windows paths, and every field."""
+    texts = [
+        "1110.0.0.7 10.0.0.7 v10.0.0.7 10.0.0.7.1 192.168.1.5, 8.8.8.8 10.0.0.256", "a/home/x /home/x é/etc/hosts (/var/log/a.txt)", "see C:\\Users\\me\\a.txt and xC:\\b, D:\\ no",
+        "😀 mail a@b.co, xa@b.co a@b.co", "token = sk-test-secret\nsecret: abcdef99", "4111 1111 1111 1111 and /tmp/a /tmp/a", "", None, "plain",
+    ]
+    rows = [(f"{i}{f}", *[t if f == g else None for g in "cta"], *[json.dumps({"sha256": "a@b.co", "k": [t]}) if f == g else None for g in "ms"]) for i, t in enumerate(texts) for f in "ctams"]
+    docs = spark.createDataFrame(rows, "document_id string, content string, title string, author string, metadata string, source_metadata string")
+    got = sec.findings(sec.document_fields(docs), "document_id")
+    path = {"c": "content", "t": "title", "a": "author", "m": "metadata.k[0]", "s": "source.metadata.k[0]"}
+    patterns = [(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w.])", "context:internal_ip"), (r"(?<![\w])/(?:home|root|var|etc|opt|srv|mnt|workspace|dev|tmp)(?:/[^\s\"'<>`\[\](){}]+)+", "context:local_path"), (r"\b[A-Za-z]:\\(?:[^\\\s<>:\"|?*]+\\?)+", "context:local_path"), (sec.EMAIL.pattern, "pii:email_address"), (sec.CARD.pattern, "pii:credit_card")]
+    private = {"10.0.0.7", "192.168.1.5"}
+    want = {(f"{i}{f}", path[f], c, m.start(), m.end()) for i, t in enumerate(texts) for f in "ctams" for p, c in patterns for m in re.finditer(p, t or "") if c != "context:internal_ip" or m[0] in private}
+    assert {(r.document_id, r.field_path, r.category, r.start, r.end) for r in got.where("kind <> 'secret'").collect()} == want
+    assert {(r.document_id, r.line_number) for r in got.where("kind = 'secret'").collect()} == {(f"4{f}", n) for f in "ctams" for n in (1, 2)}
+    decided = {r.document_id: r.decision for r in sec.decisions(docs, got, "document_id").collect()}
+    assert decided == {f"{i}{f}": "block" if i == 4 else "mark" if i < 6 else "allow" for i in range(len(texts)) for f in "ctams"}
+
+
 def test_operational_fields_are_skipped(spark):
     docs = spark.createDataFrame([(1, '{"sha256": "a@b.co", "note": "c@d.co"}')], "id long, m string")
     assert [r.field_path for r in sec.json_fields(docs, "id", "m").collect()] == ["metadata.note"]
