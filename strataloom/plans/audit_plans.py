@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.operators import audit
 from strataloom.operators.current import current_rows
+from strataloom.operators.ranking import positions
 from strataloom.plans.corpus_plans import current_sql
 from strataloom.plans.tables import table
 
@@ -49,6 +50,32 @@ def citation_audit(spark: SparkSession, d: str) -> DataFrame:
     return report.select("session_id", "status", "citation_format", "full_id_compliant", F.size("valid").alias("valid"), F.size("invalid").alias("invalid"), F.size("ambiguous").alias("ambiguous"), "retrieved_chunks")
 
 
+#: Chunks of a document that one answer cites.
+RUN = 64
+
+
+def citation_audit_all(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that name every current chunk, one for each run of a document's chunks.
+
+    By place and document a chunk is cited in full (0, 5), shortened (1, 2), not
+    at all (3), by a wrong id (4, 7), or by a part that another chunk of the
+    evidence shares (6).
+    """
+    chunks = current_rows(table(spark, d, "knowledge_chunks"), ["chunk_id"], ["document_id", "chunk_index"]).where("document_id is not null")
+    placed = positions(chunks, "document_id", ["chunk_index", "chunk_id"])
+    session = F.concat("document_id", F.lit("#"), F.floor(F.col("pos") / RUN).cast("string"))
+    placed = placed.select(session.alias("session_id"), "document_id", "chunk_id", "pos", F.pmod(F.col("pos") + F.ascii(F.right("document_id", F.lit(1))), F.lit(8)).alias("k"), F.substring_index("chunk_id", ":", -1).alias("suffix"))
+    k = F.col("k")
+    said = (
+        F.when(k == 0, F.concat(F.lit("see chunk_id: "), "chunk_id")).when(k == 5, F.concat(F.lit("(see "), "chunk_id", F.lit(")"))).when(k.isin(1, 6), F.concat(F.lit("as in ...:chunk:"), "suffix"))
+        .when(k == 2, F.concat(F.lit("by `"), "suffix", F.lit("`"))).when(k == 4, F.concat(F.lit("see chunk_id: "), "chunk_id", F.lit("x"))).when(k == 7, F.concat(F.lit("as in ...:chunk:x"), "suffix")).otherwise("without a source")
+    )
+    answers = placed.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("s")))), lambda x: x.s), ", ").alias("answer"))
+    twins = placed.where(k == 6).select("session_id", F.concat("document_id", F.lit(":twin:chunk:"), "suffix").alias("chunk_id"))
+    report = audit.citations(answers, placed.select("session_id", "chunk_id").unionByName(twins))
+    return report.select("session_id", "status", "citation_format", "full_id_compliant", F.size("valid").alias("valid"), F.size("invalid").alias("invalid"), F.size("ambiguous").alias("ambiguous"), "retrieved_chunks")
+
+
 _ORDER = "(ts, event_id)"
 QUERIES = {
     "last_turn": (last_turns, f"""
@@ -65,4 +92,10 @@ QUERIES = {
         f AS (SELECT document_id, count(*) FILTER (chunk_index % 4 = 0) AS nf, count(*) FILTER (chunk_index % 4 IN (1, 2)) AS ns FROM c WHERE chunk_index < 3 GROUP BY 1)
         SELECT f.document_id AS session_id, CASE WHEN nf + ns > 0 THEN 'valid_id_present' ELSE 'missing_citation' END AS status, CASE WHEN nf > 0 AND ns > 0 THEN 'mixed' WHEN nf > 0 THEN 'full' WHEN ns > 0 THEN 'abbreviated' ELSE 'none' END AS citation_format,
           nf > 0 AND ns = 0 AS full_id_compliant, nf + ns AS valid, 0 AS invalid, 0 AS ambiguous, retrieved_chunks FROM f JOIN n USING (document_id)"""),
+    "citation_audit_all": (citation_audit_all, f"""
+        WITH c AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index NULLS FIRST, chunk_id) - 1 AS pos FROM {current_sql('knowledge_chunks', 'chunk_id')} WHERE document_id IS NOT NULL),
+        k AS (SELECT concat(document_id, '#', pos // {RUN}) AS session_id, (pos + ascii(right(document_id, 1))) % 8 AS k FROM c),
+        n AS (SELECT session_id, count(*) FILTER (k IN (0, 5)) AS nf, count(*) FILTER (k IN (1, 2)) AS ns, count(*) FILTER (k IN (4, 7)) AS ni, count(*) FILTER (k = 6) AS na, count(*) AS n FROM k GROUP BY 1)
+        SELECT session_id, CASE WHEN ni + na > 0 THEN 'invalid_or_ambiguous_citation' WHEN nf + ns > 0 THEN 'valid_id_present' ELSE 'missing_citation' END AS status, CASE WHEN nf > 0 AND ns > 0 THEN 'mixed' WHEN nf > 0 THEN 'full' WHEN ns > 0 THEN 'abbreviated' ELSE 'none' END AS citation_format,
+          nf > 0 AND ns = 0 AND ni + na = 0 AS full_id_compliant, nf + ns AS valid, ni AS invalid, na AS ambiguous, n + na AS retrieved_chunks FROM n"""),
 }

@@ -26,5 +26,12 @@ def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
 
+def test_every_chunk_is_cited(spark):
+    got = registry.queries()["citation_audit_all"](spark, SF).collect()
+    chunks = spark.read.parquet(f"{SF}/knowledge_chunks.parquet").select("chunk_id").distinct().count()
+    assert sum(r.retrieved_chunks - r.ambiguous for r in got) == chunks
+    assert all(sum(r[k] for r in got) > 0 for k in ("valid", "invalid", "ambiguous")) and {r.status for r in got} == {"valid_id_present", "invalid_or_ambiguous_citation", "missing_citation"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["doc_id", "score", "rank"]
