@@ -1,24 +1,31 @@
 """Near-duplicate texts by fingerprints in a Gray-ordered hierarchical index.
 
-A text is its set of shingles (hashes of consecutive words). Texts of one set
-are a class and take part once. A class has 64 min-hashes: one bit of each makes
-its fingerprint, and each band of some of them a key. Spark brings together the
-classes that share a key; there, fingerprints are sorted by Gray rank, the bits
-that runs of them agree on are factored into nodes above, and pairs of nodes
-whose agreed bits differ too often are dropped with all that lies below. What is
-left within the distance is checked on the sets themselves.
-
-A key that very many classes share is cut by the index's own upper nodes, the
-leading bits of the Gray rank, and every two of these meet in a task of their own.
+A text is its set of shingles (hashes of consecutive words). Texts of one set are
+a class and take part once. A class's fingerprint is made of 64 min-hashes: some
+bits of each of them (a symbol), and one bit of each (the tail). The index holds
+a fingerprint in several rotations, each with other symbols in front and the tail
+behind, in Gray order: Spark partitions the codes by ranges of their Gray rank
+and sorts them, so that codes of one masked pattern of front bits lie together.
+
+In a task the sorted codes are the leaves of a tree: a node above has the range of
+patterns below it and the tail's bits that all below agree on. A search of the
+tree with itself drops two nodes, and all that lies below them, when they share no
+pattern or when the agreed bits differ too often. A pattern that goes on beyond a
+run of codes is met again between runs: their nodes are rows of a table, pairs of
+nodes are pruned in Spark first by run and then by node, and only the codes under
+the pairs that remain are sent. Every candidate comes out of this index, whatever
+the size of a pattern; the sets decide.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,23 +38,35 @@ WORD_RE = r"[㐀-鿿]|[\p{L}\p{N}&&[^㐀-鿿]]+"
 
 @dataclass(frozen=True)
 class NearDupConfig:
-    """``distance``: of 64 bits, that two fingerprints may differ in; at a similarity of 0.7 a pair exceeds 20 once in some
-    thousands. ``bands`` of ``band_rows`` min-hashes: at 0.7 all bands miss a pair once in 350, at 0.75 once in 2000.
-    ``bucket_rows``: classes of one key that a task takes at once. ``block_rows``: members of a class that are paired at once.
+    """``rotations`` of ``symbols`` in front: at a similarity of 0.7 all of 20 by 3 miss a pair once in 4,400. ``distance``: of the
+    64 bits of the tail, that two fingerprints may differ in; at 0.7 a pair exceeds 21 once in some 20,000, and 64 prunes nothing.
+    ``exact``: the front is one shingle of a text's prefix instead (its least shingles, of which texts of this similarity share
+    one), and the tail prunes nothing: no pair is missed, and the index has some n (1 - similarity) codes of a text.
+    ``run_rows``: codes that a task searches at once; ``node_rows``: codes under a node that is met between runs.
+    ``hub_pairs``: candidates of one class that meet one copy of its set. ``filter_bits``: size of the filter that thins the second read
+    of the texts. ``block_rows``: members of a class that are paired at once.
     ``expand``: unless None, of more copies than that of one text (byte by byte) each is paired with the least id, and only
     that with other texts; pairs of different texts all come out."""
 
     words: int = 5
     similarity: float = 0.8
     min_words: int = 1
-    bands: int = 14
-    band_rows: int = 3
-    distance: int = 20
-    bucket_rows: int = 8192
+    rotations: int = 20
+    symbols: int = 3
+    distance: int = 21
+    exact: bool = False
+    run_rows: int = 65_536
+    node_rows: int = 1024
+    hub_pairs: int = 2000
+    filter_bits: int = 1 << 26
     block_rows: int = 1000
     expand: int | None = None
     seed: int = 3
 
+    def __post_init__(self) -> None:
+        if not 0 < self.rotations * self.symbols <= 64 or self.words < 1 or not 0 < self.similarity <= 1:
+            raise ValueError("rotations * symbols is 1 to 64, words 1 or more, similarity above 0 and up to 1")
+
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,11 +103,15 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch], config: NearDupConfig) -> Iterator[pa.RecordBatch]:
-    """Columns before ``hashes`` as they are, then n, set1, set2, fp, bands (nulls for texts too short)."""
+    """Columns before ``hashes`` as they are, then n, set1, set2, tail, fronts (nulls for texts too short).
+
+    ``fronts`` has the Gray rank of each rotation's front, ``tail`` that of the tail. The first column is the kind: fronts of different kinds differ.
+    """
     rng = np.random.default_rng(config.seed)
     mult = rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, 64, dtype=np.uint64)
     least = max(config.min_words, config.words)
+    width = 58 // config.symbols  # bits of a symbol; the six above them number the rotation
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             b = whole.slice(at, 2000)
@@ -98,169 +121,221 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], config: NearDupConfig) ->
             flat, n = shingle_sets(hashes.take(pa.array(rows)), config.words)
             starts = np.cumsum(n) - n
             m = len(rows)
+            kind = np.array([zlib.crc32((k or "").encode()) for k in b.column(0).take(pa.array(rows)).to_pylist()], np.uint64) if m else np.zeros(0, np.uint64)
             mins = np.zeros((64, m), np.uint64)
             if m:
                 for k in range(64):
                     mins[k] = np.minimum.reduceat(flat * mult[k] + add[k], starts)
-            bits = (_mixed(mins * _MIX) >> np.uint64(63)).astype(np.uint64)
-            fp = np.zeros(m, np.uint64)
+            mins = _mixed(mins * _MIX)
+            tail = np.zeros(m, np.uint64)
             for k in range(64):
-                fp |= bits[k] << np.uint64(k)
-            bands = np.zeros((m, config.bands), np.uint64)
-            for j in range(config.bands):
-                key = np.full(m, j + 1, np.uint64)
-                for k in range(j * config.band_rows, (j + 1) * config.band_rows):
-                    key = _mixed(key * _MIX + mins[k])
-                bands[:, j] = key
-            set1 = np.add.reduceat(_mixed(flat), starts) if m else fp
-            set2 = np.add.reduceat(_mixed(flat * _MIX), starts) if m else fp
+                tail |= (mins[k] >> np.uint64(63)) << np.uint64(k)
+            if config.exact:
+                sizes = n - np.ceil(config.similarity * n - 1e-9).astype(np.int64) + 1
+                front = flat[np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] if m else flat
+                front = front ^ np.repeat(kind, sizes)
+            else:
+                sizes = np.full(m, config.rotations, np.int64)
+                fronts = np.zeros((m, config.rotations), np.uint64)
+                for j in range(config.rotations):
+                    code = np.full(m, j, np.uint64)
+                    for k in range(j * config.symbols, (j + 1) * config.symbols):
+                        code = code << np.uint64(width) | mins[k] & np.uint64((1 << width) - 1)
+                    fronts[:, j] = code ^ kind
+                front = fronts.ravel()
+            set1 = np.add.reduceat(_mixed(flat), starts) if m else tail
+            set2 = np.add.reduceat(_mixed(flat * _MIX), starts) if m else tail
             back = np.full(b.num_rows, -1, np.int64)
             back[rows] = np.arange(m)
             take = pa.array(back, mask=back < 0)
-            columns = [pa.array(n.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in (set1, set2, fp)], pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * config.bands), pa.array(bands.ravel().view(np.int64)))]
-            yield pa.record_batch([*b.columns[:-1], *[c.take(take) for c in columns]], names=[*b.schema.names[:-1], "n", "set1", "set2", "fp", "bands"])
-
-
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(gray_rank(front).view(np.int64)))
+            columns = [pa.array(n.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in (set1, set2, gray_rank(tail))], lists]
+            yield pa.record_batch([*b.columns[:-1], *[c.take(take) for c in columns]], names=[*b.schema.names[:-1], "n", "set1", "set2", "tail", "fronts"])
 
 
 class GrayIndex:
-    """Fingerprints sorted by Gray rank under nodes of agreed bits; ``levels[0]`` has the nodes over ``width`` fingerprints each."""
-
-    def __init__(self, fp: np.ndarray, width: int = 16):
-        self.width = width
-        self.order = np.argsort(gray_rank(fp), kind="stable")
-        self.fp = fp[self.order]
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        ones, zeros = self.fp, ~self.fp
+    """Codes in order of their front's and their tail's Gray rank, under nodes over ``width`` of them each, and nodes over nodes."""
+
+    def __init__(self, tail: np.ndarray, front: np.ndarray | None = None, width: int = 8):
+        front = np.zeros(len(tail), np.int64) if front is None else front
+        self.width, self.order = width, np.lexsort((gray_rank(tail), front))
+        self.tail, self.front = tail[self.order], front[self.order]
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        ones, zeros, low, high = self.tail, ~self.tail, self.front, self.front
         while len(ones) > 1:
             starts = np.arange(0, len(ones), width)
-            ones, zeros = np.bitwise_and.reduceat(ones, starts), np.bitwise_and.reduceat(zeros, starts)
-            self.levels.append((ones | zeros, ones))  # the mask of agreed bits, and the bits
+            ends = np.minimum(starts + width, len(ones)) - 1
+            ones, zeros, low, high = np.bitwise_and.reduceat(ones, starts), np.bitwise_and.reduceat(zeros, starts), low[starts], high[ends]
+            self.levels.append((ones | zeros, ones, low, high))  # the mask of agreed bits, the bits, the first and the last front
 
     def pairs(self, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions (in the input) of all pairs within ``distance``, in blocks."""
+        """Positions (in the input) of all pairs of one front whose tails are within ``distance``, in blocks."""
         if not self.levels:
             return
-        n = len(self.fp)
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         step = np.arange(self.width)
         while stack:
             level, a, b = stack.pop()
-            if len(a) > 4096:
+            if len(a) > 16_384:
                 half = len(a) // 2
                 stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
                 continue
-            mask, bits = self.levels[level]
-            apart = _popcount((bits[a] ^ bits[b]) & mask[a] & mask[b])
+            mask, bits, low, high = self.levels[level]
+            meet = (a == b) | (high[a] == low[b])  # in order, so what lies between has that front too
+            a, b = a[meet], b[meet]
+            apart = np.bitwise_count((bits[a] ^ bits[b]) & mask[a] & mask[b])
             a, b = a[apart <= distance], b[apart <= distance]
-            count = n if level == 0 else len(self.levels[level - 1][0])
+            count = len(self.levels[level - 1][0]) if level else len(self.tail)
             i = np.broadcast_to((a[:, None] * self.width + step)[:, :, None], (len(a), self.width, self.width)).ravel()
             j = np.broadcast_to((b[:, None] * self.width + step)[:, None, :], (len(a), self.width, self.width)).ravel()
-            there = (i < count) & (j < count) & ((i < j) if level == 0 else (i <= j))
+            there = (j < count) & ((i < j) if level == 0 else (i <= j))
             i, j = i[there], j[there]
             if level:
                 stack.append((level - 1, i, j))
                 continue
-            near = _popcount(self.fp[i] ^ self.fp[j]) <= distance
+            same = self.front[i] == self.front[j]
+            i, j = i[same], j[same]
+            near = np.bitwise_count(self.tail[i] ^ self.tail[j]) <= distance
             yield self.order[i[near]], self.order[j[near]]
 
 
-def bucket_batches(batches: Iterator[pa.RecordBatch], config: NearDupConfig, lags: int = 16) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows (key, cid, fp, n) that come sorted by key: cid_a < cid_b."""
-
-    def emit(i: np.ndarray, j: np.ndarray, cid: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fits = np.minimum(n[i], n[j]) >= config.similarity * np.maximum(n[i], n[j]) - 1e-9
-        i, j = i[fits], j[fits]
-        if len(i):
-            lo, hi = np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])
-            yield pa.record_batch([pa.array(lo), pa.array(hi)], names=["cid_a", "cid_b"])
-
-    def compare(key: np.ndarray, cid: np.ndarray, fp: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
-        big = ends - starts > lags
-        small = np.repeat(~big, ends - starts)
-        for lag in range(1, lags):  # an index of one node: all its pairs
-            i = np.flatnonzero(small[:-lag] & (key[:-lag] == key[lag:])) if len(key) > lag else np.zeros(0, np.int64)
-            if not len(i):
-                break
-            near = i[_popcount(fp[i] ^ fp[i + lag]) <= config.distance]
-            yield from emit(near, near + lag, cid, n)
-        for s, e in zip(starts[big], ends[big]):
-            for i, j in GrayIndex(fp[s:e]).pairs(config.distance):
-                yield from emit(i + s, j + s, cid, n)
-
-    held: list[np.ndarray] | None = None
+_FOUND = "a long, b long, front long, run long, node int, tail long, n int"
+_NAMES = ["a", "b", "front", "run", "node", "tail", "n"]
+
+
+def _sized(i: np.ndarray, j: np.ndarray, cid: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Class ids, the smaller first, of the pairs whose sizes allow the similarity."""
+    fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+    x, y = cid[i[fits]], cid[j[fits]]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def index_batches(batches: Iterator[pa.RecordBatch], config: NearDupConfig) -> Iterator[pa.RecordBatch]:
+    """The candidate pairs (a, b) within each run of the codes (front, tail, cid, n) that come sorted, and the codes of each run's first
+    and last front, which other runs may have too: b is null, and node is the code's place in Gray order by ``node_rows``."""
+    distance = 64 if config.exact else config.distance
+    first_run = TaskContext.get().partitionId() << 32
+    runs = 0
+
+    def search(front: np.ndarray, rank: np.ndarray, cid: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tail = rank ^ (rank >> np.uint64(1))
+        none = lambda k, t: pa.nulls(k, t)
+        for i, j in GrayIndex(tail, front).pairs(distance):
+            a, b = _sized(i, j, cid, n, config.similarity)
+            if len(a):
+                yield pa.record_batch([pa.array(a), pa.array(b), *[none(len(a), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())]], names=_NAMES)
+        at = np.flatnonzero((front == front[0]) | (front == front[-1]))
+        run = np.full(len(at), first_run + runs, np.int64)
+        yield pa.record_batch([pa.array(cid[at]), none(len(at), pa.int64()), pa.array(front[at]), pa.array(run), pa.array((at // config.node_rows).astype(np.int32)), pa.array(tail[at].view(np.int64)), pa.array(n[at].astype(np.int32))], names=_NAMES)
+
+    held: list[list[np.ndarray]] = []
+    size = 0
     for b in batches:
-        now = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy()]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now)]
+        for at in range(0, b.num_rows, config.run_rows):
+            part = b.slice(at, config.run_rows)
+            held.append([part.column(0).to_numpy(), part.column(1).to_numpy().view(np.uint64), part.column(2).to_numpy(), part.column(3).to_numpy()])
+            size += part.num_rows
+            if size >= config.run_rows:
+                yield from search(*[np.concatenate(x) for x in zip(*held)])
+                held, size, runs = [], 0, runs + 1
+    if size:
+        yield from search(*[np.concatenate(x) for x in zip(*held)])
+
+
+def between_batches(batches: Iterator[pa.RecordBatch], config: NearDupConfig) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs between the two sides of each meeting of two nodes, of rows (meeting, side, tail, cid, n) that come sorted."""
+    distance = 64 if config.exact else config.distance
+
+    def meet(side: np.ndarray, tail: np.ndarray, cid: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for at in range(0, len(left), 256):
+            some = left[at : at + 256]
+            i, j = np.nonzero(np.bitwise_count(tail[some][:, None] ^ tail[right]) <= distance)
+            a, b = _sized(some[i], right[j], cid, n, config.similarity)
+            if len(a):
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    held = None
+    for batch in batches:
+        now = [batch.column(k).to_numpy() for k in range(5)]
+        now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
         if not len(now[0]):
             continue
-        last = int(np.searchsorted(now[0], now[0][-1]))
-        held = [x[last:] for x in now]
-        if last:
-            yield from compare(*[x[:last] for x in now])
-    if held is not None and len(held[0]) > 1:
-        yield from compare(*held)
+        cuts = [0, *(np.flatnonzero(np.diff(now[0])) + 1).tolist()]
+        for s, e in zip(cuts, cuts[1:]):
+            yield from meet(now[1][s:e], now[2][s:e].view(np.uint64), now[3][s:e], now[4][s:e])
+        held = [x[cuts[-1] :] for x in now]
+    if held is not None and len(held[0]):
+        yield from meet(held[1], held[2].view(np.uint64), held[3], held[4])
+
+
+def _apart(a: str, b: str) -> Column:
+    """In how many bits, of those that all codes of either node agree on, two nodes differ."""
+    agreed = F.col(f"mask_{a}").bitwiseAND(F.col(f"mask_{b}"))
+    return F.bit_count(F.col(f"ones_{a}").bitwiseXOR(F.col(f"ones_{b}")).bitwiseAND(agreed))
 
 
 def _candidates(classes: DataFrame, config: NearDupConfig) -> DataFrame:
-    """Pairs of classes that share a band and whose fingerprints are near: cid_a, cid_b."""
-    keyed = classes.select(F.explode("bands").alias("key"), "cid", "fp", "n")
-    hot = keyed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > config.bucket_rows).select("key", "rows")
-    hot = materialize(hot, "hot")
-    if not hot.isEmpty():
-        marked = keyed.join(hot, "key", "left")
-        rest = marked.where("rows is null").select("key", "cid", "fp", "n")
-        # The upper nodes of the index: 2^depth runs in Gray order; every two of them meet under a key of their own.
-        depth = F.ceil(F.log2(F.col("rows") / (config.bucket_rows / 2))).cast("int")
-        rank = F.col("fp")
-        for shift in (1, 2, 4, 8, 16, 32):
-            rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
-        cut = marked.where("rows is not null").select("key", "cid", "fp", "n", depth.alias("depth"), rank.alias("rank"))
-        cut = cut.withColumn("mine", F.expr("shiftrightunsigned(rank, 64 - depth)")).withColumn("other", F.explode(F.expr("sequence(0L, cast(shiftleft(1, depth) - 1 as bigint))")))
-        met = cut.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "cid", "fp", "n")
-        keyed = rest.unionByName(met)
-    grouped = keyed.repartition("key").sortWithinPartitions("key")
-    return grouped.mapInArrow(lambda b: bucket_batches(b, config), "cid_a long, cid_b long").distinct()
-
-
-def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs with the Jaccard similarity of their sets, where it is high enough. ``sets``: cid, shingles in order."""
-
-    def check(asking: pa.Table, own: pa.Table) -> pa.Table:
-        a, b, s = [], [], []
-        if own.num_rows and asking.num_rows:
-            mine = own.column("shingles").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            cid = own.column("cid")[0].as_py()
-            for other, shingles in zip(asking.column("cid_b").to_pylist(), asking.column("shingles_b").combine_chunks()):
-                theirs = shingles.values.to_numpy(zero_copy_only=False)
-                both = len(np.intersect1d(mine, theirs, assume_unique=True))
-                j = both / (len(mine) + len(theirs) - both)
-                if j >= similarity - 1e-12:
-                    a.append(cid)
-                    b.append(other)
-                    s.append(j)
-        return pa.table({"cid_a": pa.array(a, pa.int64()), "cid_b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
-
-    sent = pairs.join(sets.select(F.col("cid").alias("cid_b"), F.col("shingles").alias("shingles_b")), "cid_b")
-    return sent.groupBy("cid_a").cogroup(sets.groupBy("cid")).applyInArrow(check, "cid_a long, cid_b long, similarity double")
-
-
-def _texts_of(deliveries: DataFrame, readers: DataFrame) -> DataFrame:
-    """Current texts of the few items in ``readers``, written as sets. Spark's own Bloom filter of their ids, of bounded size, thins the texts before the shuffle."""
-    spark = deliveries.sparkSession
-    setting = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, "0")
-    try:
-        wanted = readers.where("cid <> 0 or item_id <> ''")
-        return materialize(current_rows(deliveries.join(wanted, ["item_kind", "item_id"]), ["cid"], ["text"]), "texts")
-    finally:
-        spark.conf.set(setting, before) if before is not None else spark.conf.unset(setting)
+    """Pairs of classes that the index doesn't prune: cid_a, cid_b. ``classes``: cid, fronts, tail, n."""
+    codes = classes.select(F.explode("fronts").alias("front"), "tail", "cid", "n")
+    ordered = codes.repartitionByRange("front", "tail").sortWithinPartitions("front", "tail", "cid")
+    found = materialize(ordered.mapInArrow(lambda b: index_batches(b, config), _FOUND), "index")
+    within = found.where("b is not null").select("a", "b")
+    # Fronts that more than one run has: their nodes, a level of runs above them, and the pairs of nodes that may hold near codes.
+    edge = found.where("b is null").select("front", "run", "node", "tail", F.col("a").alias("cid"), "n")
+    several = edge.groupBy("front").agg(F.min("run").alias("x"), F.max("run").alias("y")).where("x < y").select("front")
+    edge = materialize(edge.join(several, "front", "left_semi"), "edge")
+    agreed = [F.bit_and("tail").alias("ones"), F.bit_and(F.bitwise_not("tail")).alias("zeros")]
+    nodes = edge.groupBy("front", "run", "node").agg(*agreed)
+    runs = nodes.groupBy("front", "run").agg(F.bit_and("ones").alias("ones"), F.bit_and("zeros").alias("zeros"))
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        masked = df.withColumn("mask", F.col("ones").bitwiseOR(F.col("zeros"))).drop("zeros")
+        return masked.select("front", *[F.col(c).alias(f"{c}_{x}") for c in masked.columns if c != "front"])
+
+    distance = 64 if config.exact else config.distance
+    met = side(runs, "a").join(side(runs, "b"), "front").where((F.col("run_a") < F.col("run_b")) & (_apart("a", "b") <= distance)).select("front", "run_a", "run_b")
+    met = met.join(side(nodes, "a"), ["front", "run_a"]).join(side(nodes, "b"), ["front", "run_b"]).where(_apart("a", "b") <= distance)
+    met = materialize(met.select("front", "run_a", "node_a", "run_b", "node_b", F.xxhash64("front", "run_a", "node_a", "run_b", "node_b").alias("meeting")), "met")
+
+    def sent(x: str, number: int) -> DataFrame:
+        of = met.select("front", F.col(f"run_{x}").alias("run"), F.col(f"node_{x}").alias("node"), "meeting")
+        return edge.join(of, ["front", "run", "node"]).select("meeting", F.lit(number).alias("side"), "tail", "cid", "n")
+
+    both = sent("a", 0).unionByName(sent("b", 1)).repartition("meeting").sortWithinPartitions("meeting")
+    between = both.mapInArrow(lambda b: between_batches(b, config), "a long, b long")
+    return within.unionByName(between).distinct().select(F.col("a").alias("cid_a"), F.col("b").alias("cid_b"))
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, config: NearDupConfig) -> DataFrame:
+    """Pairs with the Jaccard similarity of their sets, where it is high enough. ``sets``: cid, shingles.
+
+    A class with very many candidates has its set copied, one copy for about ``hub_pairs`` of them.
+    """
+    parts = pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).groupBy("cid").agg(F.ceil(F.count("*") / config.hub_pairs).alias("parts"))
+    copies = sets.join(parts, "cid").select("cid", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+    def end(x: str) -> DataFrame:
+        return copies.select(F.col("cid").alias(f"cid_{x}"), F.col("part").alias(f"part_{x}"), F.col("shingles").alias(f"shingles_{x}"))
+
+    placed = pairs
+    for x, other in ("ab", "ba"):
+        placed = placed.join(parts.select(F.col("cid").alias(f"cid_{x}"), F.col("parts").alias(f"of_{x}")), f"cid_{x}").withColumn(f"part_{x}", F.pmod(F.xxhash64(f"cid_{other}"), f"of_{x}"))
+    met = placed.select("cid_a", "part_a", "cid_b", "part_b").join(end("a"), ["cid_a", "part_a"]).join(end("b"), ["cid_b", "part_b"])
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    judged = met.select("cid_a", "cid_b", (both / (F.size("shingles_a") + F.size("shingles_b") - both)).alias("similarity"))
+    return judged.where(F.col("similarity") >= config.similarity - 1e-12)
+
+
+def _texts_of(deliveries: DataFrame, readers: DataFrame, filter_bits: int) -> DataFrame:
+    """Current texts of the few items in ``readers`` with their cid. A bitmap of their ids, of ``filter_bits`` whatever their number, thins the texts before the shuffle."""
+    place = F.pmod(F.xxhash64("item_kind", "item_id"), F.lit(filter_bits)) + 1
+    bit = F.bitmap_bit_position(place)
+    bitmap = readers.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = deliveries.withColumns({"_bucket": F.bitmap_bucket_number(place), "_bit": bit}).join(F.broadcast(bitmap), "_bucket")
+    maybe = marked.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0).drop("_bucket", "_bit", "_bits")
+    return current_rows(maybe.join(readers, ["item_kind", "item_id"]), ["item_kind", "item_id"], ["cid", "text"])
 
 
 def near_duplicates(deliveries: DataFrame, config: NearDupConfig = NearDupConfig()) -> tuple[DataFrame, DataFrame]:
@@ -275,13 +350,11 @@ def near_duplicates(deliveries: DataFrame, config: NearDupConfig = NearDupConfig
     """
     deliveries = deliveries.select("item_kind", "item_id", "text", "arrived_at")
     hashed = deliveries.select("item_kind", "item_id", "arrived_at", F.xxhash64("text").alias("copy"), word_hashes(F.col("text")).alias("hashes"))
-    schema = "item_kind string, item_id string, arrived_at timestamp, copy long, n int, set1 long, set2 long, fp long, bands array<long>"
+    schema = "item_kind string, item_id string, arrived_at timestamp, copy long, n int, set1 long, set2 long, tail long, fronts array<long>"
     sketched = hashed.mapInArrow(lambda b: sketch_batches(b, config), schema)
-    current = current_rows(sketched, ["item_kind", "item_id"], ["copy", "n", "set1", "set2", "fp", "bands"]).where("n > 0")
+    current = current_rows(sketched, ["item_kind", "item_id"], ["copy", "n", "set1", "set2", "tail", "fronts"]).where("n > 0")
     current = materialize(current.withColumn("cid", F.xxhash64("item_kind", "set1", "set2", "n")).drop("set1", "set2"), "sketches")
-    # Bands of documents and of chunks don't meet: the kind is part of the key.
-    of_kind = current.withColumn("bands", F.transform("bands", lambda x: F.xxhash64(x, "item_kind")))
-    classes = of_kind.groupBy("cid").agg(F.first("item_kind").alias("item_kind"), F.min("item_id").alias("representative"), F.count("*").alias("members"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = current.groupBy("cid").agg(F.first("item_kind").alias("item_kind"), F.min("item_id").alias("representative"), F.count("*").alias("members"), F.first("tail").alias("tail"), F.first("n").alias("n"), F.first("fronts").alias("fronts"))
     classes = materialize(classes, "classes")
     pairs = materialize(_candidates(classes, config), "pairs")
     wanted = pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct()
@@ -296,9 +369,9 @@ def near_duplicates(deliveries: DataFrame, config: NearDupConfig = NearDupConfig
                 # 32 bits tell the shingles of two texts apart well enough, and halve what is sent.
                 yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["cid", "shingles"])
 
-    sets = materialize(_texts_of(deliveries, readers).select("cid", word_hashes(F.col("text")).alias("h")).mapInArrow(to_sets, "cid long, shingles array<int>"), "sets")
+    sets = materialize(_texts_of(deliveries, readers, config.filter_bits).select("cid", word_hashes(F.col("text")).alias("h")).mapInArrow(to_sets, "cid long, shingles array<int>"), "sets")
     kinds = readers.select("cid", "item_kind")
-    links = _checked(pairs, sets, config.similarity).join(kinds, F.col("cid_a") == kinds.cid).select("item_kind", "cid_a", "cid_b", "similarity")
+    links = _checked(pairs, sets, config).join(kinds, F.col("cid_a") == kinds.cid).select("item_kind", "cid_a", "cid_b", "similarity")
     members = current.select("item_kind", "item_id", "cid", "copy").join(classes.select("cid", "representative", "members"), "cid")
     return members, links
 
