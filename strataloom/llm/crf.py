@@ -21,11 +21,6 @@ class Crf:
     end: np.ndarray
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def _window(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Word at each offset of each position, 0 (no word) beyond the ends. words: sequences x time, padded with 0."""
     n, t = words.shape
@@ -36,74 +31,97 @@ def _window(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(sequences: list[list[int]], tags: list[list[int]], word_features: list[list[int]], n_features: int, labels: list[str], features: dict[str, int], epochs: int, l2: float, rate: float, seed: int) -> Crf:
-    """Minibatch Adam on the log-likelihood. ``word_features[w]``: the features of word w; word 0 is none."""
+def train(
+    sequences: list[list[int]], tags: list[list[int]], word_features: list[list[int]], n_features: int, labels: list[str], features: dict[str, int],
+    epochs: int, l2: float, rate: float, seed: int, size: int = 128,
+) -> Crf:
+    """Minibatch Adam on the log-likelihood; a step changes the features of its batch only. ``word_features[w]``: the features of word w; word 0 is none.
+
+    Forward and backward sums are scaled at each position, so they stay products of matrices.
+    """
     rng = np.random.default_rng(seed)
     L, K = len(labels), len(OFFSETS)
-    width = max(map(len, word_features), default=1)
-    table = np.full((len(word_features), max(width, 1)), n_features, np.int64)  # the last feature is none
-    for w, fs in enumerate(word_features):
-        table[w, : len(fs)] = fs
-    params = {"w": np.zeros((K, n_features + 1, L)), "t": np.zeros((L, L)), "s": np.zeros(L), "e": np.zeros(L)}
-    m, v = ({k: np.zeros_like(p) for k, p in params.items()} for _ in range(2))
-    step = 0
+    lengths = np.array([len(f) for f in word_features])
+    flat = np.concatenate([np.asarray(f, np.int64) for f in word_features])
+    begins = np.cumsum(lengths) - lengths
     by_length = np.argsort([len(s) for s in sequences], kind="stable")
-    batches = [by_length[i : i + 64] for i in range(0, len(by_length), 64)]
+
+    def prepared(batch: np.ndarray) -> dict:
+        """All of a batch that doesn't change: words, tags, and how sums by position become sums by word and by feature."""
+        n, lens = len(batch), np.array([len(sequences[i]) for i in batch])
+        t = int(lens.max())
+        x, y = np.zeros((n, t), np.int64), np.zeros((n, t), np.int64)
+        for i, j in enumerate(batch):
+            x[i, : lens[i]], y[i, : lens[i]] = sequences[j], tags[j]
+        win = _window(x, lens)
+        used, inverse = np.unique(win, return_inverse=True)
+        inverse = inverse.reshape(K, n * t)
+        count = lengths[used]
+        feats = flat[np.repeat(begins[used], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        there = np.flatnonzero(count)
+        order = np.argsort(feats, kind="stable")
+        rows, firsts = np.unique(feats[order], return_index=True)
+        places = [np.argsort(inverse[k], kind="stable") for k in range(K)]
+        heads = [np.unique(inverse[k][places[k]], return_index=True) for k in range(K)]
+        return {
+            "n": n, "t": t, "lens": lens, "y": y, "mask": np.arange(t) < lens[:, None], "inverse": inverse, "words": len(used), "there": there, "starts": (np.cumsum(count) - count)[there],
+            "at": np.searchsorted(rows, feats), "owner": np.repeat(np.arange(len(used)), count)[order], "rows": rows, "firsts": firsts, "places": places, "heads": heads,
+        }
+
+    batches = [prepared(by_length[i : i + size]) for i in range(0, len(by_length), size)]
+    w = np.zeros((n_features, K, L), np.float32)
+    small = {"t": np.zeros((L, L), np.float32), "s": np.zeros(L, np.float32), "e": np.zeros(L, np.float32)}
+    m, v = ({"w": np.zeros_like(w), **{k: np.zeros_like(p) for k, p in small.items()}} for _ in range(2))
+    step, steps = 0, epochs * len(batches)
     for _ in range(epochs):
-        for b in rng.permutation(len(batches)):
-            seqs = [sequences[i] for i in batches[b]]
-            n, t = len(seqs), max(map(len, seqs))
-            lens = np.array([len(s) for s in seqs])
-            x, y, mask = np.zeros((n, t), np.int64), np.zeros((n, t), np.int64), np.arange(t) < lens[:, None]
-            for i, j in enumerate(batches[b]):
-                x[i, : lens[i]], y[i, : lens[i]] = sequences[j], tags[j]
-            win = _window(x, lens)
-            used = [np.unique(win[k]) for k in range(K)]
-            # Sums of weights by word, then by position.
-            unary = np.zeros((n, t, L))
-            inverse = []
-            for k in range(K):
-                sums = params["w"][k][table[used[k]]].sum(axis=1)
-                inv = np.searchsorted(used[k], win[k])
-                inverse.append(inv)
-                unary += sums[inv]
-            alpha, beta = np.zeros((n, t, L)), np.zeros((n, t, L))
-            alpha[:, 0] = params["s"] + unary[:, 0]
-            for i in range(1, t):
-                nxt = _lse(alpha[:, i - 1][:, :, None] + params["t"], 1) + unary[:, i]
-                alpha[:, i] = np.where(mask[:, i][:, None], nxt, alpha[:, i - 1])
-            log_z = _lse(alpha[:, -1] + params["e"], 1)
-            beta[:, t - 1] = params["e"]
+        for b in (batches[i] for i in rng.permutation(len(batches))):
+            n, t, lens, y, mask = b["n"], b["t"], b["lens"], b["y"], b["mask"]
+            mine = w[b["rows"]]
+            sums = np.zeros((b["words"], K, L), np.float32)
+            sums[b["there"]] = np.add.reduceat(mine[b["at"]], b["starts"], axis=0)
+            unary = sum(sums[b["inverse"][k], k] for k in range(K)).reshape(n, t, L)
+            u = np.exp(unary - unary.max(axis=2, keepdims=True))
+            trans, first, last = (np.exp(small[k]) for k in "tse")
+            alpha, beta, scale = np.zeros((n, t, L)), np.zeros((n, t, L)), np.ones((n, t))
+            alpha[:, 0] = first * u[:, 0]
+            for i in range(t):
+                if i:
+                    alpha[:, i] = np.where(mask[:, i, None], (alpha[:, i - 1] @ trans) * u[:, i], alpha[:, i - 1])
+                scale[:, i] = np.where(mask[:, i], alpha[:, i].sum(axis=1), 1)
+                alpha[:, i] /= scale[:, i, None]
+            z = alpha[:, -1] @ last
+            beta[:, t - 1] = last
             for i in range(t - 2, -1, -1):
-                back = _lse(params["t"] + (unary[:, i + 1] + beta[:, i + 1])[:, None, :], 2)
-                beta[:, i] = np.where((i + 1 < lens)[:, None], back, params["e"])
+                back = ((u[:, i + 1] * beta[:, i + 1]) @ trans.T) / scale[:, i + 1, None]
+                beta[:, i] = np.where(mask[:, i + 1, None], back, last)
             gold = np.eye(L)[y]
-            error = np.where(mask[:, :, None], np.exp(alpha + beta - log_z[:, None, None]) - gold, 0)
-            grad = {"s": error[:, 0].sum(0) / n, "e": (np.exp(alpha[:, -1] + params["e"] - log_z[:, None]) - gold[np.arange(n), lens - 1]).sum(0) / n}
-            pair = np.zeros((L, L))
-            for i in range(1, t):
-                both = alpha[:, i - 1][:, :, None] + params["t"] + (unary[:, i] + beta[:, i])[:, None, :] - log_z[:, None, None]
-                pair += (np.exp(both) * mask[:, i][:, None, None]).sum(0)
-                at = mask[:, i]
-                np.add.at(pair, (y[at, i - 1], y[at, i]), -1)
+            error = np.where(mask[:, :, None], alpha * beta / z[:, None, None] - gold, 0)
+            grad = {"s": error[:, 0].sum(0) / n, "e": (alpha[:, -1] * last / z[:, None] - gold[np.arange(n), lens - 1]).sum(0) / n}
+            ahead = np.where(mask[:, 1:, None], u[:, 1:] * beta[:, 1:] / (scale[:, 1:] * z[:, None])[:, :, None], 0)
+            pair = np.einsum("nia,nib->ab", alpha[:, :-1], ahead, optimize=True) * trans
+            np.add.at(pair, (y[:, :-1][mask[:, 1:]], y[:, 1:][mask[:, 1:]]), -1)
             grad["t"] = pair / n
-            gw = np.zeros_like(params["w"])
-            flat = error.reshape(-1, L)
+            errors = (error / n).astype(np.float32).reshape(-1, L)
+            by_word = np.zeros((b["words"], K, L), np.float32)
             for k in range(K):
-                size = len(used[k])
-                by_word = np.stack([np.bincount(inverse[k].ravel(), flat[:, c], size) for c in range(L)], axis=1)
-                for col in range(table.shape[1]):
-                    np.add.at(gw[k], table[used[k], col], by_word)
-            gw[:, n_features] = 0
-            grad["w"] = gw / n
+                seen, heads = b["heads"][k]
+                by_word[seen, k] = np.add.reduceat(errors[b["places"][k]], heads, axis=0)
             step += 1
-            for key, p in params.items():
-                g = grad[key] + l2 * p
-                m[key] = 0.9 * m[key] + 0.1 * g
-                v[key] = 0.999 * v[key] + 0.001 * g * g
-                p -= rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)
-            params["w"][:, n_features] = 0
-    return Crf(labels, features, params["w"].astype(np.float32), params["t"].astype(np.float32), params["s"].astype(np.float32), params["e"].astype(np.float32))
+            now, up, down = rate * (1 - 0.9 * step / steps), 1 - 0.9**step, 1 - 0.999**step
+
+            def moved(p: np.ndarray, g: np.ndarray, first_moment: np.ndarray, second: np.ndarray) -> np.ndarray:
+                g = (g + l2 * p).astype(np.float32)
+                first_moment += 0.1 * (g - first_moment)
+                second += 0.001 * (g * g - second)
+                return p - now * (first_moment / up) / (np.sqrt(second / down) + 1e-8)
+
+            rows = b["rows"]
+            m1, m2 = m["w"][rows], v["w"][rows]
+            w[rows] = moved(mine, np.add.reduceat(by_word[b["owner"]], b["firsts"], axis=0), m1, m2)
+            m["w"][rows], v["w"][rows] = m1, m2
+            for k in "tse":
+                small[k] = moved(small[k], grad[k], m[k], v[k])
+    return Crf(labels, features, np.ascontiguousarray(w.transpose(1, 0, 2)), *(small[k].astype(np.float32) for k in "tse"))
 
 
 def decode_runs(unary: np.ndarray, starts: np.ndarray, ends: np.ndarray, trans: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:

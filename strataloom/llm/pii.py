@@ -1,12 +1,11 @@
 """Personal information in free text by a linear-chain conditional random field.
 
-The field reads words and their shapes and tags e-mail addresses, phone numbers,
-identity numbers, street addresses and persons' names. It is trained from a
-small labelled table. Each task turns its texts into words, looks up the scores
-of each different word once, and runs Viterbi over batches of runs of words: a
-word where no tag can win whatever its neighbours are needs no Viterbi and
-separates two runs. An exact check follows: what is tagged must have the form of
-its type, which also settles where it begins and ends.
+The field reads words and the shapes of what surrounds them and tags e-mail addresses,
+phone numbers, identity numbers, street addresses and persons' names: types and spans
+are what Viterbi decodes, and nothing is matched by a pattern. It is trained from a small
+labelled table (``pii_samples``). Each task cuts its texts into words, looks up the scores
+of each different word once, and runs Viterbi over batches of runs of words: words further
+than ``REACH`` from any where a tag could win need no Viterbi and separate two runs.
 """
 
 from __future__ import annotations
@@ -21,64 +20,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.crf import OFFSETS, Crf, decode_runs, train
+from strataloom.llm.pii_samples import labelled_lines, safe_carrier
 
 ENTITIES = ("email", "phone", "identity_number", "street_address", "person_name")
 LABELS = ["O", *[f"{p}-{e}" for e in ENTITIES for p in "BI"]]
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
 
-# One word with the white space after it; white space before the first word is a word.
-_WORD = re.compile(r"(?:[㐀-鿿]|[^\W\d_㐀-鿿]+|\d+|[^\w\s]|_)\s*|\s+")
+# A chunk ends at white space, which belongs to it, and at = : ; | < > and a double quote; a Han character is a chunk of its own.
+_CHUNK = re.compile(r"[\u3400-\u9fff]\s*|[^\s\u3400-\u9fff=:;|<>\"]+[=:;|<>\"]?\s*|[=:;|<>\"]\s*|\s+")
+# A word is a run of letters or digits or another character of a chunk, with the white space after it.
+_WORD = re.compile(r"(?:[^\W\d_]+|\d+|[^\w\s]|_)\s*|\s+")
+_EDGE = re.compile(r"[\W_]*")
+
+REACH = 4
 
 # Variants of one character each: full-width forms, odd spaces and hyphens are read as the plain ones, and offsets stay.
 _PLAIN = {0xFF01 + i: 0x21 + i for i in range(94)} | dict.fromkeys([0xA0, 0x2007, 0x2009, 0x202F, 0x3000], 0x20) | dict.fromkeys([0x2010, 0x2011, 0x2012, 0x2013, 0x2212], 0x2D)
 
-_L, _R = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
-_AT = r"(?:@|\s?[(\[]\s?at\s?[)\]]\s?|\sat\s)"
-_DOT = r"(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?|\sdot\s)"
-_CAP = r"[^\W\d_㐀-鿿]+"  # a word of letters; its case is checked apart
-_UP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+"
-_STREET = r"(?:Street|Road|Lane|Avenue|Ave|Close|St|Rd|Ln|Drive|Way|Court|Terrace|Square|Crescent|Boulevard|Blvd)"
-#: The form of each type.
-FORMS = {
-    "email": re.compile(rf"(?i)(?<![a-z0-9._%+\-])[a-z0-9][a-z0-9._%+\-]*{_AT}[a-z0-9][a-z0-9\-]*(?:{_DOT}[a-z0-9\-]+)*?{_DOT}[a-z]{{2,}}(?:{_DOT}[a-z]{{2,}})*(?![a-z0-9\-])"),
-    "phone": re.compile(
-        r"\+\d{1,3}(?:[ \-.]?\(0\))?(?:[ \-./]?\d){6,12}(?!\d)(?:\s?(?:ext\.?|x|extension)\s?\d{1,5})?"
-        rf"|(?<![\w./\-])(?:1[.\- ])?(?:\(\d{{3}}\)\s?|\d{{3}}[\-. ])\d{{3}}[\-. ]\d{{4}}(?![\w\-])(?:\s?(?:ext\.?|x|extension)\s?\d{{1,5}})?"
-        r"|(?<![\d./\-A-Za-z])\d{3}-\d{4}(?![\d\-])(?:\s?(?:ext\.?|x|extension)\s?\d{1,5})?"
-        r"|(?<![\w./\-])00\d{9,13}(?!\d)"
-        r"|(?<![\d./\-A-Za-z])(?<![Zz][Xx][ \-])0\d{2,4}(?:[ /\-]\d{3,8}(?:[ \-]\d{3,4})?)(?![\d\-])"
-        r"|(?<=[㐀-鿿])(?:\(\d{3}\)\s?\d{3}[\-. ]\d{4}|(?:1[.\- ])?\d{3}[\-. ]\d{3}[\-. ]\d{4}|00\d{9,13})(?![\d\-])"
-    ),
-    "identity_number": re.compile(rf"{_L}(?:[Zz][Xx][ \-]?\d{{4}}[ \-]?\d{{5}}|[A-Za-z]\d[A-Za-z]\d{{7}}|[A-Za-z]-\d{{5}}-\d{{2}}|\d{{3}}[ \-]\d{{2}}[ \-]\d{{4}}|\d{{6}}-\d{{4}}[A-Za-z]){_R}(?!-\d)"),
-    "street_address": re.compile(
-        rf"(?<![\w.\-])\d{{1,4}}[a-z]?\s{{1,2}}(?:[NSEW]\.?\s{{1,2}})?(?:{_UP}\s{{1,2}}){{1,3}}{_STREET}(?!\w)"
-        rf"|(?<![\w\-])(?:[A-ZÄÖÜ][a-zäöüß]+\s)?[A-ZÄÖÜ][a-zäöüß]*(?:straße|strasse|gasse|weg|platz|allee|ufer)\s\d{{1,4}}[a-z]?(?!\w)|(?<![\w\-])[A-ZÄÖÜ][a-zäöüß]+er\s(?:Straße|Strasse|Gasse|Weg|Platz|Allee|Ufer)\s\d{{1,4}}[a-z]?(?!\w)"
-        r"|(?<![\w.\-])\d{1,4}(?:\s?(?:bis|ter))?,?\s(?:rue|avenue|boulevard|place|chemin|allée|quai|impasse|route)\s(?:de la |de l['’]|des |du |de |d['’])?[A-ZÀ-Ý][\wÀ-ÿ'’\-]+(?:\s[A-ZÀ-Ý][\wÀ-ÿ'’\-]+)*"
-        r"|(?<![\w\-])(?:Calle|Avenida|Plaza|Paseo|Camino|Carrera|Ronda)\s(?:del |de la |de los |de las |de )?[A-ZÁÉÍÓÚÑ][\wÀ-ÿ]*(?:\s[A-ZÁÉÍÓÚÑ][\wÀ-ÿ]*)*,?\s\d{1,4}(?!\d)"
-        r"|[㐀-鿿]{2}市(?:[㐀-鿿]{1,4}?[区县])?[㐀-鿿]{1,6}?(?:路|街|大道|巷)\d{1,5}号"
-    ),
-    "person_name": re.compile(
-        rf"{_L}(?:(?P<f2>{_CAP}(?:-{_CAP})?), {{1,2}}(?P<g2>{_CAP})(?: [A-Z]\.)?|(?P<g1>{_CAP}) {{1,2}}(?:[A-Z]\. {{1,2}})?(?P<f1>{_CAP}(?:-{_CAP})?)|(?P<i3>[A-Z])\. {{1,2}}(?P<f3>{_CAP}(?:-{_CAP})?)){_R}"
-    ),
-}
-
-
-_NEXT = re.compile(rf" ({_CAP})")
-
-
 @dataclass(frozen=True)
 class PiiConfig:
-    """``items`` and ``lines`` bound the labelled table; ``others``: the share of it that has no mention. ``caution``: how
-    much the score of no tag is lowered before decoding; the exact check follows. ``words``: different words a task remembers."""
+    """``lines``: rows of the labelled table; ``carriers``: lines of the corpus that it is put together with at most, from a sample of about ``items``
+    items. ``caution``: how much the score of no tag is lowered before decoding. ``words``: different words a task remembers.
+    ``most_names``: of the lexicon, which the driver holds; more are an error."""
 
+    lines: int = 7000
+    carriers: int = 3000
     items: int = 4000
-    lines: int = 2000
-    others: float = 0.35
-    epochs: int = 6
+    epochs: int = 8
+    batch: int = 128
     l2: float = 1e-5
     rate: float = 0.05
-    caution: float = 3.0
+    caution: float = 0.0
     words: int = 200_000
+    most_names: int = 100_000
     seed: int = 5
 
 
@@ -122,75 +96,70 @@ def _case(word: str) -> str:
     return "C" if word[:1].isupper() and word[1:].islower() else "m"
 
 
-def features_of(word: str, lexicon: Lexicon) -> list[str]:
-    """Features of one word with its white space: spelling, shape, ends, and what the lexicon has of it."""
+def _shape(text: str, runs: bool) -> str:
+    """Letters as A and a, digits as d, all else as it is; ``runs``: each run of letters, and of digits, as one."""
+    if runs:
+        return re.sub(r"\d+", "d", re.sub(r"[^\W\d_]+", "a", text))
+    return re.sub(r"\d", "d", re.sub(r"[^\W\d_]+", lambda m: "a" if len(m[0]) > 2 else "A" * len(m[0]), text))
+
+
+def words_in(chunk: str) -> list[tuple[str, tuple[str, ...]]]:
+    """Words of a chunk, each with what the chunk says of it: shapes of the chunk without its edges, and the word's place in it."""
+    words = _WORD.findall(chunk)
+    if len(words) == 1:
+        return [(words[0], ())]
+    body = chunk.rstrip().translate(_PLAIN)
+    head, foot = _EDGE.match(body).end(), 0
+    while foot < len(body) - head and not body[len(body) - foot - 1].isalnum():
+        foot += 1
+    core = body[head : len(body) - foot]
+    fine, coarse = _shape(core, False)[:24], _shape(core, True)[:16]
+    local, at, domain = core.partition("@")
+    mail = f"mail={bool(local)}{_shape(domain, True)[-12:]}" if at else ""
+    out, where = [], 0
+    for w in words:
+        if where < head:
+            said: tuple[str, ...] = ("edge=<",)
+        elif where >= len(body) - foot:
+            said = ("edge=>",)
+        else:
+            place = "first" if where == head else "last" if where + len(w.rstrip()) >= len(body) - foot else "mid"
+            side = "" if not at else "<" if where - head <= len(local) else ">"
+            said = (f"fine={fine}", f"coarse={coarse}", f"place={place}{side}", *([mail, f"{mail}{place}{side}"] if mail else [f"fine={fine}{place}"]))
+        out.append((w, said))
+        where += len(w)
+    return out
+
+
+def features_of(word: str, said: tuple[str, ...], lexicon: Lexicon) -> list[str]:
+    """Features of one word with its white space: spelling, shape, ends, what the lexicon has of it, and what its chunk says of it."""
     body = word.rstrip().translate(_PLAIN)
     gap = "n" if "\n" in word else "s" if len(body) < len(word) else "-"
     low = body.lower()
-    out = [f"gap={gap}", "bias"]
+    out = [f"gap={gap}", "bias", *said]
     if body.isdigit():
-        return [*out, f"num={min(len(body), 8)}", f"num={min(len(body), 8)}{gap}", f"zero={body[:2] == '00'}", f"d0={body[:1]}", *([f"w={body}"] if len(body) <= 3 else [])]
+        size = min(len(body), 14)
+        return [*out, f"num={size}", f"num={size}{gap}", f"zero={body[:2] == '00'}{body[:1] == '0'}", f"num={size}{'' if said else 'alone'}", *([f"w={body}"] if len(body) <= 2 else [])]
     out += [f"w={low}", f"w={low}{gap}"]
-    if body.isalpha():
-        out.append(f"case={_case(body)}{gap}")
-        out += [f"len={min(len(body), 9)}", f"p3={low[:3]}", f"s3={low[-3:]}", f"s4={low[-4:]}"]
+    if "\u3400" <= body <= "\u9fff":
+        out.append("han")
+    elif body.isalpha():
+        out += [f"case={_case(body)}{gap}", f"len={min(len(body), 9)}", f"p3={low[:3]}", f"s3={low[-3:]}", f"s4={low[-4:]}"]
         for kind in ("given", "family"):
             if len(body) > 3 and lexicon.like(body, kind):
                 out += [f"like={kind}", f"like={kind}{_case(body)}{gap}"]
     return out
 
 
-def mentions_by_rule(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
-    """Spans of the labelled table: the forms, and names of which both parts are like known ones."""
-    plain = text.translate(_PLAIN)
-    spans = [(m.start(), m.end(), e) for e in ENTITIES[:4] for m in FORMS[e].finditer(plain)]
-    spans += [(s, e, "person_name") for s, e in names_in(plain, 0, len(plain), lexicon)]
-    return settle(spans)
-
-
-def names_in(plain: str, low: int, high: int, lexicon: Lexicon, tagged: tuple[int, int] | None = None) -> list[tuple[int, int]]:
-    """Names of the form between two offsets. ``tagged``: of what the field has tagged from end to end, one part like a known name will do."""
-    out, at = [], low
-    while m := FORMS["person_name"].search(plain, at, high):
-        g, f = m["g1"] or m["g2"], m["f1"] or m["f2"] or m["f3"]
-        if m["i3"]:
-            good = lexicon.like(f, "family") and not f.islower()
-        else:
-            votes = lexicon.like(g, "given") + lexicon.like(f, "family")
-            after = _NEXT.match(plain, m.end()) if m["g2"] else None
-            if after and lexicon.like(after[1], "family"):
-                votes = 0  # the given name belongs to the family name behind it
-            one_case = len({_case(x) for x in (g, *f.split("-"))}) == 1
-            whole = tagged is not None and tagged[0] <= m.start() and m.end() <= tagged[1]
-            good = votes == 2 or whole and votes == 1 and one_case and _case(g) == "C" and len(g) > 2 and len(f) > 2
-        glued = plain[m.end() : m.end() + 1] == "@" or plain[max(0, m.start() - 1) : m.start()] in tuple("@.") and plain[m.start() - 2 : m.start() - 1].isalnum()
-        if good and not glued:
-            out.append((m.start(), m.end()))
-            at = m.end()
-        else:
-            nxt = re.compile(r"[^\W\d_]+").match(plain, m.start())
-            at = nxt.end() if nxt else m.start() + 1
-    return out
-
-
-def settle(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """In order, without overlaps: of two that overlap the earlier type of ENTITIES wins, then the longer."""
-    taken: list[tuple[int, int, str]] = []
-    for s, e, kind in sorted(set(spans), key=lambda x: (ENTITIES.index(x[2]), x[0] - x[1], x[0])):
-        if all(e <= a or s >= b for a, b, _ in taken):
-            taken.append((s, e, kind))
-    return sorted(taken)
-
-
-def words_of(text: str) -> tuple[list[str], np.ndarray]:
-    """Words that together are the text, and where each begins."""
-    words = _WORD.findall(text)
-    return words, np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+def words_of(text: str) -> tuple[list[tuple[str, tuple[str, ...]]], np.ndarray]:
+    """Words that together are the text, each with what its chunk says of it, and where each begins."""
+    words = [w for c in _CHUNK.findall(text) for w in words_in(c)]
+    return words, np.concatenate([[0], np.cumsum([len(w) for w, _ in words])]).astype(np.int64)
 
 
 def fit(labelled: pd.DataFrame, lexicon: Lexicon, config: PiiConfig) -> Crf:
     """Train from rows (text, spans: (start, end, entity) of it)."""
-    numbers: dict[str, int] = {"": 0}
+    numbers: dict[tuple, int] = {("", ()): 0}
     word_features: list[list[int]] = [[]]
     features: dict[str, int] = {}
     sequences, tags = [], []
@@ -205,16 +174,16 @@ def fit(labelled: pd.DataFrame, lexicon: Lexicon, config: PiiConfig) -> Crf:
         for w in words:
             if w not in numbers:
                 numbers[w] = len(numbers)
-                word_features.append([features.setdefault(f, len(features)) for f in features_of(w, lexicon)])
+                word_features.append([features.setdefault(f, len(features)) for f in features_of(*w, lexicon)])
             ids.append(numbers[w])
-        for a in range(0, len(ids), 80):  # long lines in pieces
-            sequences.append(ids[a : a + 80])
-            tags.append(tag[a : a + 80].tolist())
+        for a in range(0, len(ids), 60):  # long lines in pieces
+            sequences.append(ids[a : a + 60])
+            tags.append(tag[a : a + 60].tolist())
     pairs = [(s, t) for s, t in zip(sequences, tags) if s]
     if not pairs:
         L = len(LABELS)
         return Crf(LABELS, {}, np.zeros((len(OFFSETS), 1, L), np.float32), np.zeros((L, L), np.float32), np.zeros(L, np.float32), np.zeros(L, np.float32))
-    return train([p[0] for p in pairs], [p[1] for p in pairs], word_features, len(features), LABELS, features, config.epochs, config.l2, config.rate, config.seed)
+    return train([p[0] for p in pairs], [p[1] for p in pairs], word_features, len(features), LABELS, features, config.epochs, config.l2, config.rate, config.seed, config.batch)
 
 
 class Tagger:
@@ -233,28 +202,40 @@ class Tagger:
         self.slack = 2 * max(0.0, free - float(crf.trans[0, 0]))
 
     def reset(self) -> None:
-        self.numbers: dict[str, int] = {"": 0}
+        self.numbers: dict[tuple, int] = {("", ()): 0}
+        self.chunks: dict[str, tuple[list[int], list[int]]] = {}
         self.scores = np.zeros((len(OFFSETS), 1024, len(LABELS)), np.float32)
 
-    def number(self, word: str) -> int:
-        n = self.numbers[word] = len(self.numbers)
-        if n >= self.scores.shape[1]:
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)], axis=1)
-        known = [f for x in features_of(word, self.lexicon) if (f := self.crf.features.get(x)) is not None]
-        self.scores[:, n] = self.crf.weights[:, known].sum(axis=1)
+    def number(self, word: tuple[str, tuple[str, ...]]) -> int:
+        n = self.numbers.get(word)
+        if n is None:
+            n = self.numbers[word] = len(self.numbers)
+            if n >= self.scores.shape[1]:
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)], axis=1)
+            known = [f for x in features_of(*word, self.lexicon) if (f := self.crf.features.get(x)) is not None]
+            self.scores[:, n] = self.crf.weights[:, known].sum(axis=1)
         return n
 
+    def chunk(self, chunk: str) -> tuple[list[int], list[int]]:
+        words = words_in(chunk)
+        known = self.chunks[chunk] = [self.number(w) for w in words], [len(w) for w, _ in words]
+        return known
+
     def tags(self, texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
         """Tagged spans (code points) of each text."""
-        if len(self.numbers) > self.config.words:
+        if len(self.chunks) > self.config.words:
             self.reset()
-        ids, sizes, counts = [], [], []
-        get, number = self.numbers.get, self.number
+        ids: list[int] = []
+        sizes: list[int] = []
+        counts = []
+        get, new = self.chunks.get, self.chunk
         for text in texts:
-            words = _WORD.findall(text)
-            ids += [n if (n := get(w)) is not None else number(w) for w in words]
-            sizes += map(len, words)
-            counts.append(len(words))
+            before = len(ids)
+            for c in _CHUNK.findall(text):
+                n, size = get(c) or new(c)
+                ids += n
+                sizes += size
+            counts.append(len(ids) - before)
         x = np.array(ids, np.int64)
         bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         doc = np.repeat(np.arange(len(texts)), counts)
@@ -266,7 +247,12 @@ class Tagger:
                 a, b = (slice(-o, None), slice(None, o)) if o < 0 else (slice(None, -o), slice(o, None))
                 unary[a] += self.scores[k][np.where(doc[a] == doc[b], x[b], 0)]
         unary[:, 0] -= self.config.caution
-        active = np.flatnonzero(unary[:, 0] - unary[:, 1:].max(axis=1) <= self.slack) if len(x) else np.zeros(0, np.int64)
+        maybe = unary[:, 0] - unary[:, 1:].max(axis=1) <= self.slack
+        near = maybe.copy()
+        for k in range(1, REACH + 1):  # a mention can have words inside that look like none
+            near[k:] |= maybe[:-k]
+            near[:-k] |= maybe[k:]
+        active = np.flatnonzero(near)
         begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         if len(active):
@@ -290,37 +276,29 @@ class Tagger:
         yield from found
 
 
-def checked(text: str, spans: list[tuple[int, int, str]], lexicon: Lexicon, around: int = 40) -> list[tuple[int, int, str]]:
-    """The forms that tagged spans have a part in. A form begins and ends where it does in the whole text."""
-    if not spans:
-        return []
-    plain = text.translate(_PLAIN)
-    out: list[tuple[int, int, str]] = []
-    for s, e, kind in spans:
-        low, high = max(0, s - around), min(len(plain), e + around)
-        if kind == "person_name":
-            hits = names_in(plain, low, high, lexicon) or names_in(plain, low, high, lexicon, (s, e))
-        else:
-            hits = [(m.start(), m.end()) for m in FORMS[kind].finditer(plain, low, high)]
-        out += [(a, b, kind) for a, b in hits if a < e and b > s]
-    return settle(out)
+def trimmed(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans without the white space after their last word."""
+    return [(s, s + len(text[s:e].rstrip()), kind) for s, e, kind in spans]
+
+
+def lexicon_of(names: DataFrame, config: PiiConfig = PiiConfig()) -> Lexicon:
+    """The lexicon of a table (name, kind: given or family). It is held whole by driver and tasks, so its size is checked."""
+    rows = [(r["name"], r["kind"]) for r in names.select("name", "kind").limit(config.most_names + 1).collect()]
+    if len(rows) > config.most_names:
+        raise ValueError(f"the lexicon has more than most_names = {config.most_names} rows")
+    return Lexicon.of(rows)
 
 
 def label_table(items: DataFrame, lexicon: Lexicon, config: PiiConfig) -> pd.DataFrame:
-    """The small labelled table: lines of a bounded sample of ``items`` (item_id, text), labelled by rule; lines of no mention fill up ``others``."""
-    count = items.count()
+    """The small labelled table (text, spans), in the company of at most ``carriers`` lines of ``items`` (item_id, text) that can hold no mention."""
+    known = lexicon.given | lexicon.family
     buckets = 1_000_003
-    share = min(1.0, config.items / max(count, 1))
-    picked = items.where(F.pmod(F.xxhash64("item_id", F.lit(config.seed)), F.lit(buckets)) < int(share * buckets) + 1).limit(config.items)
-    lines = picked.select(F.explode(F.split("text", r"[\r\n]+")).alias("line")).where("line <> ''").distinct()
-    key = F.xxhash64("line", F.lit(config.seed))
-    hint = F.col("line").rlike(r"@|\d{3}\W?\d{2,}|\d号|(?i)[(\[]at[)\]]| at |\b(?:rue|calle|street|road|lane|avenue|ave|close)\b|straße|gasse") | F.col("line").rlike("(?i)" + "|".join(sorted(re.escape(n) for n in lexicon.given | lexicon.family)) if lexicon.given | lexicon.family else "^$")
-    most = 2 * config.lines
-    some = [r.line for r in lines.where(hint).orderBy(key).limit(most).collect()] + [r.line for r in lines.where(~hint).orderBy(key).limit(config.lines).collect()]
-    rows = [(x[:2000], mentions_by_rule(x[:2000], lexicon)) for x in some]
-    having = [r for r in rows if r[1]][: int(config.lines * (1 - config.others))]
-    without = [r for r in rows if not r[1]]
-    return pd.DataFrame(having + without[: int(config.lines * config.others)], columns=["text", "spans"])
+    share = min(1.0, config.items / max(items.count(), 1))
+    picked = items.where(F.pmod(F.xxhash64("item_id", F.lit(config.seed)), F.lit(buckets)) < int(share * buckets) + 1)
+    lines = picked.select(F.explode(F.split("text", r"[\r\n]+")).alias("line")).where("length(line) between 3 and 2000").distinct()
+    some = [r.line for r in lines.orderBy(F.xxhash64("line", F.lit(config.seed))).limit(3 * config.carriers).collect()]
+    carriers = [x for x in some if safe_carrier(x, known)][: config.carriers]
+    return pd.DataFrame(labelled_lines(carriers, list(lexicon.given), list(lexicon.family), config.lines, config.seed), columns=["text", "spans"])
 
 
 def find(items: DataFrame, crf: Crf, lexicon: Lexicon, config: PiiConfig = PiiConfig()) -> DataFrame:
@@ -328,8 +306,7 @@ def find(items: DataFrame, crf: Crf, lexicon: Lexicon, config: PiiConfig = PiiCo
 
     Offsets are code points, the end exclusive. Null and empty texts have none.
     Repeated rows come out repeatedly; other columns are ignored; texts of any
-    length are read whole. Mentions don't overlap: of two the earlier type of
-    ENTITIES stays.
+    length are read whole. Mentions don't overlap.
     """
     shared = items.sparkSession.sparkContext.broadcast((crf, lexicon))  # the size of the labelled table's features
 
@@ -343,7 +320,7 @@ def find(items: DataFrame, crf: Crf, lexicon: Lexicon, config: PiiConfig = PiiCo
                 size += len(t)
                 if size > 2_000_000 or i == len(texts) - 1:
                     part = texts[at : i + 1]
-                    found += [checked(t, spans, lexicon) for t, spans in zip(part, tagger.tags(part))]
+                    found += [trimmed(t, spans) for t, spans in zip(part, tagger.tags(part))]
                     at, size = i + 1, 0
             out = batch[["item_kind", "item_id", "text"]].copy()
             out["mentions"] = [[{"entity": k, "span_start": a, "span_end": b, "value": t[a:b]} for a, b, k in f] for t, f in zip(texts, found)]

@@ -64,9 +64,9 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexicon = pii.Lexicon.of([(r["name"], r["kind"]) for r in table(spark, sf_dir, "name_lexicon").limit(100_000).collect()])  # a fixed table
-    current = items.current_items(items.delivered_items(spark, sf_dir), ["text"])
     config = pii.PiiConfig()
+    lexicon = pii.lexicon_of(table(spark, sf_dir, "name_lexicon"), config)
+    current = items.current_items(items.delivered_items(spark, sf_dir), ["text"])
     crf = pii.fit(pii.label_table(items.delivered_items(spark, sf_dir), lexicon, config), lexicon, config)
     return pii.find(current, crf, lexicon, config)
 
