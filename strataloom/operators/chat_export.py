@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,8 +94,18 @@ def turns_of(nodes: Column) -> Column:
     )
 
 
-def normalize(conversations: DataFrame, column: str = "conversation") -> DataFrame:
-    """One document a conversation JSON: document_id, title, content (the transcript), turns, role counts and node counts, times.
+def canonical_json(text: Column) -> Column:
+    """JSON with sorted keys and no white space, so that equal values are equal texts."""
+
+    @F.pandas_udf("string")
+    def sort(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: json.dumps(json.loads(t), sort_keys=True, ensure_ascii=False, separators=(",", ":")), na_action="ignore")
+
+    return sort(text)
+
+
+def normalize(conversations: DataFrame, column: str = "conversation", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One document a conversation JSON: document_id, title, content (the transcript), turns, role counts and node counts, diagnostics, times, and ``keep``.
 
     The path leads from current_node, or from the latest leaf where that is no
     node; a conversation without a mapping has its ``messages`` as turns named
@@ -100,25 +113,33 @@ def normalize(conversations: DataFrame, column: str = "conversation") -> DataFra
     one id the newest stays.
     """
     c = F.from_json(F.col(column), CONVERSATION)
-    rows = conversations.select(F.col(column).alias("_raw"), c.alias("c"))
+    rows = conversations.select(*keep, F.col(column).alias("_raw"), c.alias("c"))
     mapping = F.coalesce("c.mapping", F.expr(f"cast(map() as map<string, struct<id: string, parent: string, children: array<string>, message: {_MESSAGE}>>)"))
     start = F.when(F.map_contains_key(mapping, F.coalesce("c.current_node", F.lit(""))), F.col("c.current_node")).otherwise(latest_leaf(mapping))
-    rows = rows.select("_raw", "c", mapping.alias("mapping"), start.alias("start"))
-    rows = rows.withColumn("path", F.when(F.size("mapping") > 0, active_path(F.col("mapping"), F.col("start"))))
-    on_path = F.transform("path", lambda p: F.struct(p.alias("node_id"), F.try_element_at("mapping", p).message.alias("message")))
+    rows = rows.select(*keep, "_raw", "c", mapping.alias("mapping"), start.alias("start"))
+    rows = rows.withColumn("_path", F.when(F.size("mapping") > 0, active_path(F.col("mapping"), F.col("start"))))
+    on_path = F.transform("_path", lambda p: F.struct(p.alias("node_id"), F.try_element_at("mapping", p).message.alias("message")))
     flat = F.transform("c.messages", lambda m, i: F.struct(F.concat(F.lit("flat-"), i.cast("string")).alias("node_id"), m.alias("message")))
-    rows = rows.withColumn("turns", turns_of(F.coalesce(on_path, flat)))
+    # Flat messages stand in where the mapping gives no turn.
+    rows = rows.withColumn("_graph", turns_of(on_path)).withColumn("turns", F.when(F.size("_graph") > 0, F.col("_graph")).otherwise(turns_of(flat)))
     rows = rows.where(F.size("turns") > 0)
     times = F.transform("turns", lambda t: t.create_time)
     created = F.coalesce("c.create_time", F.array_min(times))
     updated = F.greatest(F.coalesce("c.update_time", F.array_max(times)), created)
-    key = F.coalesce(first_nonempty(F.col("c.id"), F.col("c.conversation_id")), F.concat(F.lit("anonymous-"), F.substring(F.sha2("_raw", 256), 1, 16)))
+    key = F.coalesce(first_nonempty(F.col("c.id"), F.col("c.conversation_id")), F.concat(F.lit("anonymous-"), F.substring(F.sha2(canonical_json(F.col("_raw")), 256), 1, 16)))
     content = F.array_join(F.transform("turns", lambda t: F.concat(F.lit("## "), F.initcap(t.role), F.lit("\n\n"), t.text)), "\n\n")
     count = lambda role: F.size(F.filter("turns", lambda t: t.role == role))
+    top = F.element_at("_path", 1)  # where the walk ended
+    beyond = F.try_element_at("mapping", top).parent
+    diagnostics = F.array_compact(F.array(
+        F.when((F.size("mapping") > 0) & ~F.coalesce(F.map_contains_key("mapping", F.coalesce("c.current_node", F.lit(""))), F.lit(False)), "no_current_node"),
+        F.when(F.array_contains("_path", beyond), "circle"), F.when(beyond.isNotNull() & ~F.map_contains_key("mapping", F.coalesce(beyond, F.lit(""))), "missing_parent"),
+        F.when((F.size("mapping") > 0) & (F.size("_graph") == 0), "flat_messages"),
+    ))
     out = rows.select(
         F.concat(F.lit("chatgpt:"), key).alias("document_id"), first_nonempty(F.col("c.title"), F.lit("Untitled conversation")).alias("title"), content.alias("content"), F.sha2(content, 256).alias("content_hash"), "turns",
-        count("user").alias("user_turns"), count("assistant").alias("assistant_turns"), F.size("mapping").alias("mapping_nodes"), F.greatest(F.size("mapping") - F.coalesce(F.size("path"), F.lit(0)), F.lit(0)).alias("inactive_nodes"),
-        epoch_to_timestamp(created).alias("created_at"), epoch_to_timestamp(updated).alias("updated_at"),
+        count("user").alias("user_turns"), count("assistant").alias("assistant_turns"), F.size("mapping").alias("mapping_nodes"), F.greatest(F.size("mapping") - F.coalesce(F.size("_path"), F.lit(0)), F.lit(0)).alias("inactive_nodes"),
+        epoch_to_timestamp(created).alias("created_at"), epoch_to_timestamp(updated).alias("updated_at"), diagnostics.alias("diagnostics"), *keep,
     )
     order = F.struct(F.coalesce("updated_at", "created_at"), "content_hash")
     whole = F.struct(*[x for x in out.columns if x != "document_id"])

@@ -8,9 +8,12 @@ Counts add up over joints of white space, so no text is counted again.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,120 +35,106 @@ class ChunkingConfig:
             raise ValueError("max_tokens > overlap_tokens >= 0 and overlap_turns >= 0 are required")
 
 
+# Fixed value: one approximate token, as in functions.tokens.
 _TOKEN = re.compile(r"[㐀-䶿一-鿿豈-﫿]|[A-Za-z0-9_]+(?:[-./:][A-Za-z0-9_]+)*|[^\s]")
-_HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*$")
-_FENCE = re.compile(r"\s*(```|~~~)")
-_ITEM = re.compile(r"[-*+] |\d+[.)]\s")
+_JOINT = re.compile(r"[-./:]")
+# What a line is by itself; the name of the group that matches says it.
+_LINE = re.compile(r"(?P<heading>#{1,6})\s+(?P<title>.+?)\s*$|\s*(?P<fence>`{3}|~{3})|(?P<blank>\s*)$|\s*(?P<item>[-*+] |\d+[.)]\s)")
+
+
+def _fenced(fences: list[tuple[int, str]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``n`` lines lie in fences, marks included, and which open one. ``fences``: lines of marks with their marks."""
+    inside, opens, at = np.zeros(n, bool), np.zeros(n, bool), -1
+    same = {mark: [i for i, m in fences if m == mark] for _, mark in fences}
+    for i, mark in fences:
+        if i > at:
+            later = bisect_right(same[mark], i)
+            at = same[mark][later] if later < len(same[mark]) else n - 1
+            inside[i : at + 1] = opens[i] = True
+    return inside, opens
 
 
 def parse_blocks(text: str) -> list[tuple[str, list[str], str]]:
     """(text, section path, kind) of each block: heading, code, list, table or text.
 
-    Headings don't count inside fences; a fence ends at the same marker or the
-    end; text that a heading or fence cuts off without a blank line is plain
-    text; where a heading level is skipped, the path closes up.
+    Each line is classified by itself, fences are paired by their marks, and a
+    running sum over the lines where something begins numbers the blocks.
+    Headings don't count inside fences; a fence ends at the same mark or the end;
+    text that a heading or fence cuts off without a blank line is plain text;
+    where a heading level is skipped, the path closes up.
     """
+    lines = re.split(r"\r\n|\r|\n", text)
+    n = len(lines)
+    found = [_LINE.match(x) for x in lines]
+    kind = np.array([m.lastgroup if m else "other" for m in found], object)
+    inside, opens = _fenced([(i, found[i]["fence"]) for i in np.flatnonzero(kind == "fence")], n)
+    heading, blank = (kind == "title") & ~inside, (kind == "blank") & ~inside
+    # A block begins where a line differs in what it belongs to, at each heading and at each fence.
+    part = np.where(inside, 1, np.where(heading, 2, np.where(blank, 3, 0)))
+    begins = np.ones(n, bool)
+    begins[1:] = (part[1:] != part[:-1]) | heading[1:] | opens[1:]
+    starts = np.flatnonzero(begins)
     out: list[tuple[str, list[str], str]] = []
     path: list[str] = []
-    held: list[str] = []
-    held_path: list[str] = []
-    fence = ""
-
-    def put(kind: str) -> None:
-        if body := "\n".join(held).strip():
-            out.append((body, list(held_path), kind))
-        held.clear()
-
-    def natural() -> str:
-        rows = [x.strip() for x in held if x.strip()]
-        if rows and all(_ITEM.match(x) for x in rows):
-            return "list"
-        return "table" if len(rows) > 1 and "|" in rows[0] and "|" in rows[1] else "text"
-
-    for line in re.split(r"\r\n|\r|\n", text):
-        mark = _FENCE.match(line) if "```" in line or "~~~" in line else None
-        if fence:
-            held.append(line)
-            if mark and mark[1] == fence:
-                put("code")
-                fence, held_path = "", path
-        elif head := line.startswith("#") and _HEADING.match(line):
-            put("text")
-            path = [*path[: len(head[1]) - 1], head[2].strip()]
-            held_path = path
-            out.append((line.strip(), path, "heading"))
-        elif mark:
-            put("text")
-            fence, held_path = mark[1], path
-            held.append(line)
-        elif not line.strip():
-            put(natural())
-            held_path = path
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), n]):
+        body = "\n".join(lines[s:e]).strip()
+        if not body:
+            continue
+        if part[s] == 2:
+            path = [*path[: len(found[s]["heading"]) - 1], found[s]["title"].strip()]
+            of = "heading"
+        elif part[s] == 1:
+            of = "code"
+        elif e < n and part[e] != 3:
+            of = "text"
+        elif (kind[s:e] == "item").all():
+            of = "list"
         else:
-            if not held:
-                held_path = path
-            held.append(line)
-    put("code" if fence else natural())
+            of = "table" if e - s > 1 and "|" in lines[s] and "|" in lines[s + 1] else "text"
+        out.append((body, path, of))
     return out
 
 
-def fit(text: str, limit: int) -> list[str]:
-    """Pieces of at most ``limit`` tokens: of lines, else of sentences, else of words, else of characters."""
-    text = text.strip()
-    if len(text) <= limit or len(_TOKEN.findall(text)) <= limit:  # a token has a character at least
-        return [text] if text else []
-    lines = text.splitlines()
-    if len(lines) > 1:
-        return [p for part in _packed(lines, "\n", limit) for p in fit(part, limit)]
-    sentences = [s.strip() for s in re.split(r"(?<=[.!?。！？；;])\s*", text) if s.strip()]
-    if len(sentences) > 1:
-        return [p for part in _packed(sentences, " ", limit) for p in _fit_words(part, limit)]
-    return _fit_words(text, limit)
-
-
-def _packed(units: list[str], joint: str, limit: int) -> list[str]:
-    groups: list[list[str]] = []
-    used = 0
-    for unit in units:
-        n = len(_TOKEN.findall(unit))
-        if groups and used + n <= limit:
-            groups[-1].append(unit)
-            used += n
-        elif groups or unit:
-            groups.append([unit])
-            used = n
-    return [s for g in groups if (s := joint.join(g).strip())]
-
-
-def _fit_words(text: str, limit: int) -> list[str]:
-    if len(_TOKEN.findall(text)) <= limit:
-        return [text]
-    out: list[str] = []
-    run: list[str] = []
-    used = 0
-    for word in text.split():
-        n = len(_TOKEN.findall(word))
-        if run and used + n > limit:
-            out.append(" ".join(run))
-            run, used = [], 0
-        if n > limit:
-            out += _fit_characters(word, limit)
-        else:
-            run.append(word)
-            used += n
-    return [*out, " ".join(run)] if run else out
+def _tokens(text: str) -> int:
+    return len(_TOKEN.findall(text))
+
 
+# Ways to take a text apart, the coarsest first, and what joins the parts again.
+_SENTENCE_END = re.compile(r"(?<=[.!?。！？；;])\s*")
+_LEVELS = ((str.splitlines, "\n"), (lambda text: [x for part in _SENTENCE_END.split(text) if (x := part.strip())], " "), (str.split, " "))
 
-def _fit_characters(word: str, limit: int) -> list[str]:
-    """The count isn't monotone in characters, so the longest run is found by extending one character at a time near the limit."""
-    out, at = [], 0
+
+def _gathered(units: list[str], joint: str, limit: int) -> Iterator[str]:
+    """Runs of units of at most ``limit`` tokens, or of one longer unit: cut at running sums of their tokens."""
+    sums = np.concatenate([[0], np.cumsum([_tokens(u) for u in units])])
+    at = 0
+    while at < len(units):
+        end = max(at + 1, int(np.searchsorted(sums, sums[at] + limit, side="right")) - 1)
+        if run := joint.join(units[at:end]).strip():
+            yield run
+        at = end
+
+
+def _cut(word: str, limit: int) -> Iterator[str]:
+    """Pieces of a word of more than ``limit`` tokens. A piece ends before a token; or before the first joint of its last token that comes after ``limit`` characters, as the part up to a joint counts one more than the whole."""
+    at = 0
     while at < len(word):
-        end = min(len(word), at + limit)
-        while end < len(word) and len(_TOKEN.findall(word[at : end + 1])) <= limit:
-            end += 1
-        out.append(word[at:end])
+        ahead = list(islice(_TOKEN.finditer(word, at), limit + 1))
+        end = ahead[limit].start() if len(ahead) > limit else len(word)
+        if len(ahead) >= limit and (joint := _JOINT.search(word, max(ahead[limit - 1].start() + 1, at + limit), ahead[limit - 1].end())):
+            end = joint.start()
+        yield word[at:end]
         at = end
-    return out
+
+
+def fit(text: str, limit: int) -> list[str]:
+    """Pieces of at most ``limit`` tokens: runs of lines; of longer lines runs of sentences, of longer sentences runs of words; longer words are cut."""
+    pieces = [text.strip()] if text.strip() else []
+    for apart, joint in _LEVELS:
+        if all(len(p) <= limit for p in pieces):  # a token has a character at least
+            return pieces
+        pieces = [q for p in pieces for q in ([p] if _tokens(p) <= limit else _gathered(apart(p), joint, limit))]
+    return [q for p in pieces for q in ([p] if _tokens(p) <= limit else _cut(p, limit))]
 
 
 def document_blocks(docs: DataFrame, id_col: str, text_col: str, config: ChunkingConfig) -> DataFrame:
@@ -199,19 +188,20 @@ def chunk_id(doc: Column, strategy: str, index: Column, content_hash: Column) ->
 
 
 def chunk_documents(docs: DataFrame, id_col: str = "document_id", text_col: str = "content", config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
-    """Chunks of every document: id, chunk_id, chunk_index, text, token_count, section_path, block_kinds, content_hash. Blank texts give none."""
+    """Chunks of every document: id, chunk_id, chunk_index, text, token_count, section_path, block_kinds, overlap_blocks (blocks that the chunk before has too), content_hash. Blank texts give none."""
     strategy = "markdown_structure_v1"
     packed = document_blocks(docs, id_col, text_col, config)
     # The counts as a column of their own: the fold looks at them again and again.
     packed = packed.withColumn("counts", F.transform("blocks", lambda b: b.tokens)).withColumn("groups", pack(F.col("counts"), config.max_tokens, config.overlap_tokens))
     # Cut before the explode: a row then carries its own blocks and not the document's.
-    cut = packed.select(id_col, F.transform("groups", lambda g: F.slice("blocks", g.first + 1, g.last - g.first + 1)).alias("cut"))
+    shared = lambda g, i: F.when(i > 0, F.greatest(F.element_at("groups", i).last - g.first + 1, F.lit(0))).otherwise(0)
+    cut = packed.select(id_col, F.transform("groups", lambda g, i: F.struct(F.slice("blocks", g.first + 1, g.last - g.first + 1).alias("mine"), shared(g, i).alias("overlap"))).alias("cut"))
     # Outer, then filtered: a plain explode has the optimizer test the array first, and work it out twice.
-    rows = cut.select(id_col, F.posexplode_outer("cut").alias("chunk_index", "mine")).where("chunk_index is not null")
+    rows = cut.select(id_col, F.posexplode_outer("cut").alias("chunk_index", "c")).where("chunk_index is not null").select(id_col, "chunk_index", "c.mine", F.col("c.overlap").alias("overlap_blocks"))
     with_path = F.filter("mine", lambda x: F.size(x.section_path) > 0)
     rows = rows.select(
         id_col, "chunk_index", F.array_join(F.col("mine.text"), "\n\n").alias("text"), F.aggregate("mine", F.lit(0), lambda s, x: s + x.tokens).alias("token_count"),
-        F.when(F.size(with_path) > 0, F.element_at(with_path, -1).section_path).otherwise(F.expr("cast(array() as array<string>)")).alias("section_path"), F.array_distinct(F.col("mine.kind")).alias("block_kinds"),
+        F.when(F.size(with_path) > 0, F.element_at(with_path, -1).section_path).otherwise(F.expr("cast(array() as array<string>)")).alias("section_path"), F.array_distinct(F.col("mine.kind")).alias("block_kinds"), "overlap_blocks",
     )
     hashed = rows.withColumn("content_hash", F.sha2("text", 256))
     return hashed.withColumn("chunk_id", chunk_id(F.col(id_col).cast("string"), strategy, F.col("chunk_index"), F.col("content_hash")))
@@ -231,7 +221,7 @@ def render_turn(role: Column, text: Column) -> Column:
 
 
 def chunk_conversations(turns: DataFrame, conv: str = "conversation_id", pos: str = "turn_pos", role: str = "speaker", text: str = "text", config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
-    """Chunks of whole turns with whole-turn overlap: id, chunk_index, turn_start, turn_end, overlap_turns, token_count, text.
+    """Chunks of whole turns with whole-turn overlap: id, chunk_index, turn_start, turn_end, overlap_pieces, overlap_turns, token_count, text.
 
     A turn above the limit is cut, each piece under the turn's heading. A
     conversation may be of any size: only the numbers of its pieces pass through
@@ -244,7 +234,7 @@ def chunk_conversations(turns: DataFrame, conv: str = "conversation_id", pos: st
             out = []
             for c, p, r, t in b.itertuples(index=False):
                 head = f"## {r.title()}"
-                for k, piece in enumerate(fit(t or "", limit - len(_TOKEN.findall(head)))):
+                for k, piece in enumerate(fit(t or "", limit - _tokens(head))):
                     out.append((c, p, k, f"{head}\n\n{piece}"))
             yield pd.DataFrame(out, columns=["conv", "pos", "part", "piece"])
 
@@ -254,10 +244,10 @@ def chunk_conversations(turns: DataFrame, conv: str = "conversation_id", pos: st
     order = pieces.select("conv", "pos", "part", F.xxhash64("piece").alias("h"), "id", "tokens").repartition("conv").sortWithinPartitions("conv", "pos", "part", "h", "id")
     placed = order.select("conv", "pos", "id", "tokens").mapInArrow(lambda b: pack_turns(b, limit, config.overlap_turns), "conv string, chunk_index int, place int, overlap boolean, id long")
     rows = placed.join(pieces.select("id", "pos", "piece", "tokens"), "id").groupBy("conv", "chunk_index").agg(
-        F.min("pos").alias("turn_start"), F.max("pos").alias("turn_end"), F.count_if("overlap").cast("int").alias("overlap_pieces"), F.sum("tokens").cast("int").alias("token_count"),
+        F.min("pos").alias("turn_start"), F.max("pos").alias("turn_end"), F.count_if("overlap").cast("int").alias("overlap_pieces"), F.count_distinct(F.when(F.col("overlap"), F.col("pos"))).cast("int").alias("overlap_turns"), F.sum("tokens").cast("int").alias("token_count"),
         F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("mine"),
     )
-    return rows.select(F.col("conv").alias(conv), "chunk_index", "turn_start", "turn_end", "overlap_pieces", "token_count", F.array_join("mine.piece", "\n\n").alias("text"))
+    return rows.select(F.col("conv").alias(conv), "chunk_index", "turn_start", "turn_end", "overlap_pieces", "overlap_turns", "token_count", F.array_join("mine.piece", "\n\n").alias("text"))
 
 
 def pack_turns(batches: Iterator[pa.RecordBatch], limit: int, overlap_turns: int) -> Iterator[pa.RecordBatch]:
@@ -293,6 +283,11 @@ def pack_turns(batches: Iterator[pa.RecordBatch], limit: int, overlap_turns: int
     yield batch()
 
 
+def inherited(chunks: DataFrame, docs: DataFrame, id_col: str = "document_id", columns: tuple[str, ...] = ("title", "source", "domain", "project", "security")) -> DataFrame:
+    """Chunks with what they take over from their documents: those of ``columns`` that the documents have."""
+    return chunks.join(docs.select(id_col, *[c for c in columns if c in docs.columns and c not in chunks.columns]), id_col)
+
+
 def chunk_all(docs: DataFrame, turns: DataFrame, id_col: str = "document_id", source_type: str = "source_type", text_col: str = "content", conv: str = "conversation_id", pos: str = "turn_pos", role: str = "speaker", text: str = "text", config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
     """Chunks of documents of every source type: conversations by their turns, all else by Markdown structure.
 

@@ -1,4 +1,4 @@
-"""Security scan: fields, findings, decision, redaction, summary. All in the JVM.
+"""Security scan: fields, findings, decision, redaction, summary.
 
 Detectors are patterns over text columns and can be replaced; what the engine
 settles is the policy: each kind of finding has an action, a document's decision
@@ -15,46 +15,69 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.functions.network import is_private_ipv4
+from strataloom.functions.network import ipv4_number, is_private_ipv4
 from strataloom.functions.text import slug
+from strataloom.scratch import materialize
 
-# Actions in rising gravity, and metadata keys that are provenance and aren't scanned.
+# Actions in rising gravity; metadata keys that are provenance and aren't scanned; directories below which a path is local.
 ACTIONS = ["allow", "mark", "redact", "block"]
 OPERATIONAL_KEYS = (
-    "content_hash conversion_status created_at current_node docling_document_name document_id extension filename format hash id message_id "
-    "mime_type parent_id provider raw_sha256 raw_size_bytes raw_uri sha256 source_id source_type updated_at"
-).split()
+    "content_hash", "conversion_status", "created_at", "current_node", "docling_document_name", "document_id", "extension", "filename", "format", "hash", "id",
+    "message_id", "mime_type", "parent_id", "provider", "raw_sha256", "raw_size_bytes", "raw_uri", "sha256", "source_id", "source_type", "updated_at",
+)
+LOCAL_ROOTS = ("dev", "etc", "home", "mnt", "opt", "root", "srv", "tmp", "var", "workspace")
 
 
 @dataclass(frozen=True)
 class Detector:
-    """``kind``: secret, pii or context. ``pattern``: never matches nothing; RE2-compatible, without look-around, where a query has a SQL twin; group ``group`` is the value. ``span``: whether it can be redacted."""
+    """``kind``: secret, pii or context. ``pattern``: never matches nothing; RE2-compatible, without look-around, where a query has a SQL twin.
+
+    ``check``: what a match must pass besides: private (an address of a private network), luhn, entropy (as random as a key).
+    ``context``: a pattern that the match's line must have. ``span``: whether it can be redacted. ``score``: how sure a match is.
+    """
 
     name: str
     kind: str
     pattern: str
-    group: int = 0
     span: bool = True
+    check: str = ""
+    context: str = ""
+    score: float = 1.0
 
 
+_NAMED = r"(?:pass(?:word|phrase|wd)|secret|token|(?:api|access|private|signing)[ _-]?key|credentials?)"
+SECRET = Detector("credential_assignment", "secret", rf"(?i)\b[a-z0-9_-]*{_NAMED}" + r"[\"']?[ \t]*(?::|=|:=|=>)[ \t]*[\"']?[a-z0-9+/_.~!@#$%^&*-]{6,}", span=False)
+BEARER = Detector("bearer_token", "secret", r"(?i)\bbearer[ \t]+[a-z0-9._~+/-]{16,}=*", span=False)
+PRIVATE_KEY = Detector("private_key", "secret", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", span=False)
+CLOUD_KEY = Detector("cloud_key_id", "secret", r"\b(?:AKIA|ASIA)[A-Z2-7]{16}\b", span=False)
+RANDOM_STRING = Detector("high_entropy_string", "secret", r"[A-Za-z0-9+/_=-]{20,}", span=False, check="entropy", context=rf"(?i){_NAMED}|\bauth|\bbearer")
 EMAIL = Detector("email_address", "pii", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 CARD = Detector("credit_card", "pii", r"\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}\b")
-IPV4 = Detector("internal_ip", "context", r"\b\d{1,3}(?:\.\d{1,3}){3}\b")
-UNIX_PATH = Detector("local_path", "context", r"/(?:home|root|var|etc|opt|srv|mnt|workspace|dev|tmp)(?:/[^\s\"'<>`\[\](){}]+)+")
-SECRET = Detector("credential_assignment", "secret", r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd|credential|client[_-]?secret|private[_-]?key|authorization)\s*[=:]\s*['\"]?[^\s'\"]{6,}", span=False)
+VALID_CARD = replace(CARD, check="luhn")
+PHONE = Detector("phone_number", "pii", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b", score=0.6)
+IP = Detector("ip_address", "pii", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", check="ipv4", score=0.6)
+IPV4 = Detector("internal_ip", "context", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", check="private")
+UNIX_PATH = Detector("local_path", "context", rf"/(?:{'|'.join(LOCAL_ROOTS)})/[^\s\"'`<>()\[\]{{}}]+")
 # The default policy's own forms of the context patterns, with boundaries that only the JVM's patterns can say.
-BOUND_IPV4 = replace(IPV4, pattern=r"(?U)(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w.])")
+BOUND_IPV4 = replace(IPV4, pattern=r"(?U)(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])")
 BOUND_UNIX_PATH = replace(UNIX_PATH, pattern=r"(?U)(?<!\w)" + UNIX_PATH.pattern)
-WINDOWS_PATH = Detector("local_path", "context", r"(?U)\b[A-Za-z]:\\(?:[^\\\s<>:\"|?*]+\\?)+")
-DETECTORS = (SECRET, EMAIL, CARD, BOUND_IPV4, BOUND_UNIX_PATH, WINDOWS_PATH)
+WINDOWS_PATH = Detector("local_path", "context", r"(?U)\b[A-Za-z]:(?:\\[^\\\s<>:\"|?*]+)+\\?")
+DETECTORS = (SECRET, BEARER, PRIVATE_KEY, CLOUD_KEY, RANDOM_STRING, EMAIL, VALID_CARD, BOUND_IPV4, BOUND_UNIX_PATH, WINDOWS_PATH)
 
 
 @dataclass(frozen=True)
 class Policy:
+    """An action for each kind; ``detectors``; ``min_score``: of matches that count; ``title``, ``author``, ``metadata``, ``source_metadata``: whether these are scanned besides the content."""
+
     secret: str = "block"
     pii: str = "mark"
     context: str = "mark"
     detectors: tuple[Detector, ...] = field(default=DETECTORS)
+    min_score: float = 0.5
+    title: bool = True
+    author: bool = True
+    metadata: bool = True
+    source_metadata: bool = True
 
     def __post_init__(self) -> None:
         if any(a not in ACTIONS for a in (self.secret, self.pii, self.context)):
@@ -65,22 +88,60 @@ class Policy:
     def action(self, kind: Column) -> Column:
         return F.when(kind == "secret", self.secret).when(kind == "pii", self.pii).otherwise(self.context)
 
+    def used(self) -> tuple[Detector, ...]:
+        return tuple(d for d in self.detectors if d.score >= self.min_score)
+
+    def redacting(self) -> tuple[Detector, ...]:
+        """Detectors whose matches are replaced."""
+        return tuple(d for d in self.used() if d.span and {"pii": self.pii, "context": self.context}.get(d.kind) == "redact")
+
+
+def luhn(value: Column) -> Column:
+    """Whether the digits of ``value`` have a right check digit."""
+    digits = F.reverse(F.transform(F.split(F.regexp_replace(value, "[^0-9]", ""), ""), lambda x: x.cast("int")))
+    doubled = F.transform(F.filter(digits, lambda x: x.isNotNull()), lambda x, i: F.when(i % 2 == 0, x).otherwise(x * 2 - F.when(x > 4, 9).otherwise(0)))
+    return F.aggregate(doubled, F.lit(0), lambda s, x: s + x) % 10 == 0
+
+
+def entropy(value: Column) -> Column:
+    """Shannon entropy of the characters, in bits."""
+    letters = F.filter(F.split(value, ""), lambda c: c != "")
+    share = lambda c: F.size(F.filter(letters, lambda x: x == c)) / F.size(letters)
+    return F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
+
+
+def _passes(value: Column, check: str) -> Column:
+    if check == "private":
+        return F.coalesce(is_private_ipv4(value), F.lit(False))
+    if check == "ipv4":
+        return ipv4_number(value).isNotNull()
+    if check == "luhn":
+        return luhn(value)
+    if check == "entropy":
+        return entropy(value) >= F.when(value.rlike("^[0-9a-fA-F]+$"), 3.0).otherwise(4.3)
+    raise ValueError(f"unknown check {check!r}")
+
 
 def matches(text: Column, d: Detector) -> Column:
-    """array<struct<start, end, value>>, in code points. What lies between the matches gives their places."""
+    """array<struct<start, end, line, value>>, in code points; lines count from 1. What lies between the matches gives their places."""
     found = F.regexp_extract_all(text, F.lit(d.pattern), F.lit(0))
-    lengths = F.arrays_zip(F.transform(F.split(text, d.pattern, -1), lambda g: F.length(g)).alias("gap"), found.alias("value"))
-    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)").alias("out"))
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    lengths = F.arrays_zip(F.transform(F.split(text, d.pattern, -1), lambda g: F.struct(F.length(g).alias("n"), breaks(g).alias("lines"))).alias("gap"), found.alias("value"))
+    state = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.expr("cast(array() as array<struct<start: int, end: int, line: int, value: string>>)").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        start = s.at + x.gap
+        start, line = s.at + x.gap.n, s.line + x.gap.lines
         end = start + F.length(x.value)
-        return F.struct(end.alias("at"), F.concat(s.out, F.array(F.struct(start.alias("start"), end.alias("end"), x.value.alias("value")))).alias("out"))
+        hit = F.struct(start.alias("start"), end.alias("end"), line.alias("line"), x.value.alias("value"))
+        return F.struct(end.alias("at"), (line + breaks(x.value)).alias("line"), F.concat(s.out, F.array(hit)).alias("out"))
 
     # The last gap has no match behind it.
     spans = F.aggregate(F.filter(lengths, lambda x: x.value.isNotNull()), state, step, lambda s: s.out)
-    if d.name == "internal_ip":
-        spans = F.filter(spans, lambda x: F.coalesce(is_private_ipv4(x.value), F.lit(False)))
+    if d.check:
+        spans = F.filter(spans, lambda x: _passes(x.value, d.check))
+    if d.context:
+        lines = F.split(text, "\n")
+        spans = F.filter(spans, lambda x: F.element_at(lines, x.line).rlike(d.context))
     return spans
 
 
@@ -95,7 +156,7 @@ def json_fields(docs: DataFrame, id_col: str, column: str, prefix: str = "metada
     """String leaves one level down in a JSON object column, operational keys left out: id, field_path, text."""
     m = F.from_json(F.col(column), "map<string,string>")
     rows = docs.select(id_col, F.explode(m).alias("key", "text"))
-    return rows.where(~F.lower("key").isin(OPERATIONAL_KEYS) & (F.col("text") != "")).select(id_col, F.concat(F.lit(prefix + "."), "key").alias("field_path"), "text")
+    return rows.where(~F.lower("key").isin(*OPERATIONAL_KEYS) & (F.col("text") != "")).select(id_col, F.concat(F.lit(prefix + "."), "key").alias("field_path"), "text")
 
 
 def _leaves(value: object, path: str = "") -> Iterator[tuple[str, str, str]]:
@@ -131,10 +192,15 @@ def nested_fields(docs: DataFrame, id_col: str, column: str, prefix: str = "meta
     return docs.select(F.col(id_col).alias("i"), F.col(column).alias("t")).mapInPandas(walk, f"i {kind}, field_path string, text string").withColumnRenamed("i", id_col)
 
 
-def document_fields(docs: DataFrame, id_col: str = "document_id") -> DataFrame:
-    """id, field_path, text of all that is scanned: content, title, author, and the leaves of metadata and source_metadata (JSON)."""
-    plain = scannable_fields(docs, id_col, {"content": "content", "title": "title", "author": "author"})
-    return plain.unionByName(nested_fields(docs, id_col, "metadata")).unionByName(nested_fields(docs, id_col, "source_metadata", "source.metadata"))
+def document_fields(docs: DataFrame, id_col: str = "document_id", policy: Policy = Policy()) -> DataFrame:
+    """id, field_path, text of all that is scanned: content, and as the policy says title, author, and the leaves of metadata and source_metadata (JSON)."""
+    wanted = ["content", *(["title"] if policy.title else []), *(["author"] if policy.author else [])]
+    out = scannable_fields(docs, id_col, {c: c for c in wanted})
+    if policy.metadata:
+        out = out.unionByName(nested_fields(docs, id_col, "metadata"))
+    if policy.source_metadata:
+        out = out.unionByName(nested_fields(docs, id_col, "source_metadata", "source.metadata"))
+    return out
 
 
 def put_fields(docs: DataFrame, changed: DataFrame, id_col: str, column: str, prefix: str = "metadata") -> DataFrame:
@@ -161,25 +227,31 @@ def put_fields(docs: DataFrame, changed: DataFrame, id_col: str, column: str, pr
 
 
 def findings(fields: DataFrame, id_col: str, policy: Policy = Policy()) -> DataFrame:
-    """One row a distinct finding: id, field_path, kind, category, action, line_number, start, end (null without a span), evidence_hash."""
+    """One row a distinct finding: id, field_path, kind, category, detector, score, action, line_number, start, end (null without a span), evidence_hash."""
     text = F.col("text")
 
     def rows_of(d: Detector) -> Column:
         def row(x: Column) -> Column:
-            before = F.substring(text, F.lit(1), x.start)
-            line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
             return F.struct(
-                F.lit(d.kind).alias("kind"), F.concat(F.lit(d.kind + ":"), slug(F.lit(d.name))).alias("category"),
-                F.when(F.lit(d.span), x.start).alias("start"), F.when(F.lit(d.span), x.end).alias("end"), line.alias("line_number"), F.sha2(x.value, 256).alias("evidence_hash"),
+                F.lit(d.kind).alias("kind"), F.concat(F.lit(d.kind + ":"), slug(F.lit(d.name))).alias("category"), F.lit(d.name).alias("detector"), F.lit(d.score).alias("score"),
+                F.when(F.lit(d.span), x.start).alias("start"), F.when(F.lit(d.span), x.end).alias("end"), x.line.alias("line_number"), F.sha2(x.value, 256).alias("evidence_hash"),
             )
 
         return F.transform(matches(text, d), row)
 
-    each = F.concat(*[rows_of(d) for d in policy.detectors])
+    each = F.concat(*[rows_of(d) for d in policy.used()])
     rows = fields.select(id_col, "field_path", F.explode_outer(each).alias("x")).where("x is not null")
     return rows.select(id_col, "field_path", "x.*").dropDuplicates([id_col, "field_path", "category", "start", "end", "line_number", "evidence_hash"]).withColumn("action", policy.action(F.col("kind")))
 
 
+def well_formed(found: DataFrame, fields: DataFrame, id_col: str) -> DataFrame:
+    """Findings of an outside detector that have no span, or one that lies in their field: 0 <= start <= end <= length, as whole numbers however they are written."""
+    whole = lambda c: F.col(c).cast("string").try_cast("double").try_cast("int")
+    cast = found.withColumn("_none", F.col("start").isNull() & F.col("end").isNull()).withColumns({"start": whole("start"), "end": whole("end")})
+    sized = cast.join(fields.select(id_col, "field_path", F.length("text").alias("_size")), [id_col, "field_path"])
+    return sized.where("_none or (start >= 0 and end >= start and end <= _size)").drop("_none", "_size")
+
+
 def decisions(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     """id, decision (the gravest action), finding_count, categories (sorted) of every document; allow without findings."""
     grave = F.array_position(F.array(*[F.lit(a) for a in ACTIONS]), F.col("action"))
@@ -189,6 +261,54 @@ def decisions(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     return out.select(id_col, decision.alias("decision"), F.coalesce("finding_count", F.lit(0)).alias("finding_count"), F.coalesce("categories", F.expr("cast(array() as array<string>)")).alias("categories"))
 
 
+def finding_counts(found: DataFrame, id_col: str) -> DataFrame:
+    """id, category_counts and detector_counts: maps in order of their keys, of the documents that have findings."""
+
+    def counted(column: str, name: str) -> DataFrame:
+        each = found.groupBy(id_col, column).agg(F.count("*").alias("n"))
+        return each.groupBy(id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(name))
+
+    return counted("category", "category_counts").join(counted("detector", "detector_counts"), id_col)
+
+
+def scan(docs: DataFrame, policy: Policy = Policy(), id_col: str = "document_id") -> DataFrame:
+    """``docs`` after the scan: content, title, author, metadata and source_metadata with what is to be redacted replaced, content_hash renewed where the content changed.
+
+    Besides: decision, finding_count, category_counts, detector_counts, redacted,
+    and in ``security`` (where the documents have it) sensitive_categories, the old
+    ones and then the new, and contains_sensitive_data. Ids are unique. Columns
+    that a policy doesn't scan stay as they are.
+    """
+    found = materialize(findings(document_fields(docs, id_col, policy), id_col, policy), "findings")
+    decided = decisions(docs, found, id_col).join(finding_counts(found, id_col), id_col, "left")
+    out = docs.join(decided, id_col)
+    inside = policy.redacting()
+    if inside:
+        plain = ["content", *(["title"] if policy.title else []), *(["author"] if policy.author else [])]
+        before = {c: F.col(c) for c in plain}
+        out = out.withColumns({**{f"_old_{c}": v for c, v in before.items()}, **{c: redact(v, inside) for c, v in before.items()}})
+        for column, prefix, on in (("metadata", "metadata", policy.metadata), ("source_metadata", "source.metadata", policy.source_metadata)):
+            if on:
+                leaves = nested_fields(docs, id_col, column, prefix)
+                changed = leaves.withColumn("clean", redact(F.col("text"), inside)).where("clean <> text").select(id_col, "field_path", F.col("clean").alias("text"))
+                out = put_fields(out, changed, id_col, column, prefix)
+        other = F.lit(False)
+        for c in plain:
+            other = other | F.coalesce(F.col(c) != F.col(f"_old_{c}"), F.lit(False))
+        spans = found.where("action = 'redact' and start is not null").select(F.col(id_col).alias("_id")).distinct().withColumn("_in", F.lit(True))
+        out = out.join(spans, F.col(id_col) == F.col("_id"), "left").withColumn("redacted", other | F.coalesce("_in", F.lit(False)))
+        out = out.withColumn("content_hash", F.when(F.coalesce(F.col("content") != F.col("_old_content"), F.lit(False)), F.sha2("content", 256)).otherwise(F.col("content_hash")) if "content_hash" in docs.columns else F.sha2("content", 256))
+        out = out.drop("_id", "_in", *[f"_old_{c}" for c in plain])
+    else:
+        out = out.withColumn("redacted", F.lit(False))
+    if "security" in docs.columns:
+        new = F.when(F.col("decision") != "allow", F.col("categories")).otherwise(F.expr("cast(array() as array<string>)"))
+        old = F.coalesce("security.sensitive_categories", F.expr("cast(array() as array<string>)"))
+        changed = F.col("security").withField("sensitive_categories", F.array_distinct(F.concat(old, new))).withField("contains_sensitive_data", F.coalesce("security.contains_sensitive_data", F.lit(False)) | (F.size(new) > 0))
+        out = out.withColumn("security", changed)
+    return out.drop("categories")
+
+
 def redact_spans(text: Column, spans: Column) -> Column:
     """``text`` with each span (start, end, replacement) replaced: from the left, the longest of those that begin together, overlaps skipped."""
     ordered = F.array_sort(spans, lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise(b.end - a.end))

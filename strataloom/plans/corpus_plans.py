@@ -9,8 +9,7 @@ from strataloom.functions.network import ipv4_number, is_private_ipv4, private_i
 from strataloom.functions.text import clean_list, strip
 from strataloom.functions.tokens import token_count
 from strataloom.operators import chunking
-from strataloom.operators.current import current_rows
-from strataloom.plans.tables import table
+from strataloom.plans.tables import current, table
 
 #: The token pattern in RE2's syntax, and all white space that RE2's \s leaves out.
 TOKEN_SQL = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]|[A-Za-z0-9_]+(?:[-./:][A-Za-z0-9_]+)*|[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -32,7 +31,7 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_token_check(spark: SparkSession, d: str) -> DataFrame:
     """True counts of current chunks beside those they claim."""
-    cur = current_rows(table(spark, d, "knowledge_chunks"), ["chunk_id"], ["token_count", token_count(F.col("text")).alias("true_count")])
+    cur = current(spark, d, "knowledge_chunks", ["chunk_id"], ["token_count", token_count(F.col("text")).alias("true_count")])
     return cur.select("chunk_id", F.col("token_count").alias("claimed"), "true_count", F.coalesce(F.col("token_count") == F.col("true_count"), F.lit(False)).alias("agrees"), (F.col("true_count") > 512).alias("oversized"))
 
 
@@ -53,19 +52,19 @@ def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the current documents by structure."""
-    cur = current_rows(table(spark, d, "norm_documents"), ["document_id"], ["content"])
+    cur = current(spark, d, "norm_documents", ["document_id"], ["content"])
     return chunking.chunk_documents(cur).select("document_id", "chunk_id", "chunk_index", "token_count", F.to_json("section_path").alias("section_path"), F.to_json("block_kinds").alias("block_kinds"), "content_hash")
 
 
 def acl_clean(spark: SparkSession, d: str) -> DataFrame:
     """Access lists of current documents: stripped, without blanks and repeats, in order."""
-    cur = current_rows(table(spark, d, "norm_documents"), ["document_id"], ["security"])
+    cur = current(spark, d, "norm_documents", ["document_id"], ["security"])
     return cur.select("document_id", *[F.array_join(clean_list(F.col(f"security.{c}")), "|").alias(c) for c in ("allowed_users", "allowed_groups")])
 
 
 def integrity(spark: SparkSession, d: str) -> DataFrame:
     """Current documents by the rule that they break; one that breaks two counts twice."""
-    cur = current_rows(table(spark, d, "norm_documents"), ["document_id"], ["created_at", "updated_at", "content_hash", "content", "title"])
+    cur = current(spark, d, "norm_documents", ["document_id"], ["created_at", "updated_at", "content_hash", "content", "title"])
     rules = F.array_compact(F.array(
         F.when(F.col("updated_at") < F.col("created_at"), "updated_before_created"), F.when(F.col("content_hash").isNull(), "no_hash"),
         F.when(F.col("content_hash") != F.sha2("content", 256), "other_hash"), F.when(F.coalesce(strip(F.col("content")), F.lit("")) == "", "blank"), F.when(F.col("title") != strip(F.col("title")), "padded_title"),

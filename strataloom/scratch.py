@@ -17,13 +17,15 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a fresh local one only where the setting is absent."""
+    """The shared folder named by the session. Where the setting is absent, a local master gets a folder of its own; on a cluster executors can't read each other's disks, so it is an error."""
     root = spark.conf.get(_SETTING, None)
     if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-strataloom-")
-        root = _OWN[app]
+        context = spark.sparkContext
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError(f"{_SETTING} must name a folder that all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-strataloom-")
+        root = _OWN[context.applicationId]
     return root.rstrip("/")
 
 

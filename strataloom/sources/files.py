@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import file_extension
+from strataloom.operators.ranking import positions
 
 # Fixed values.
 KINDS = {".json": "chat", ".zip": "chat", ".pdf": "document", ".docx": "document", ".md": "document", ".markdown": "document"}
@@ -57,25 +58,39 @@ def _conversations(data: bytes, name: str) -> Iterator[dict]:
     top = json.loads(data.decode("utf-8-sig"))
     if isinstance(top, dict):
         top = top["conversations"] if isinstance(top.get("conversations"), list) else [top]
+    if not isinstance(top, list):
+        raise ValueError(f"{name}: no conversations")
     for c in top:
-        if not isinstance(c, dict):
-            raise ValueError(f"{name}: a conversation is no object")
+        if not isinstance(c, dict) or not ("mapping" in c or "messages" in c or "current_node" in c):
+            raise ValueError(f"{name}: what should be a conversation has no messages")
         yield c
 
 
-def read_conversations(files: DataFrame) -> DataFrame:
-    """One row a conversation of JSON and ZIP files (path, content): path, member, ordinal, conversation (its JSON). A list, one conversation and {conversations: [...]} are understood."""
+def read_conversations(files: DataFrame, strict: bool = True) -> DataFrame:
+    """One row a conversation of JSON and ZIP files (path, content): path, member, ordinal, conversation (its JSON), error. A list, one conversation and {conversations: [...]} are understood.
+
+    A file that can't be read fails the job, or, unless ``strict``, is one row with its error.
+    """
+
+    def of(path: str, data: bytes) -> Iterator[tuple]:
+        members = _zip_members(data, 1) if path.lower().endswith(".zip") else [(path.rsplit("/", 1)[-1], data)]
+        for member, body in members:
+            for i, c in enumerate(_conversations(body, member)):
+                yield path, member, i, json.dumps(c, ensure_ascii=False), None
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows: list[tuple] = []
             for path, data in b.itertuples(index=False):
-                members = _zip_members(data, 1) if path.lower().endswith(".zip") else [(path.rsplit("/", 1)[-1], data)]
-                for member, body in members:
-                    rows += [(path, member, i, json.dumps(c, ensure_ascii=False)) for i, c in enumerate(_conversations(body, member))]
-            yield pd.DataFrame(rows, columns=["path", "member", "ordinal", "conversation"])
+                try:
+                    rows += list(of(path, data))
+                except (ValueError, zipfile.BadZipFile) as e:
+                    if strict:
+                        raise
+                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "member", "ordinal", "conversation", "error"]).astype({"ordinal": "Int32"})
 
-    return files.select("path", "content").mapInPandas(parse, "path string, member string, ordinal int, conversation string")
+    return files.select("path", "content").mapInPandas(parse, "path string, member string, ordinal int, conversation string, error string")
 
 
 def read_documents(files: DataFrame, convert: Callable[[str, bytes], str] | None = None) -> DataFrame:
@@ -102,9 +117,18 @@ def read_documents(files: DataFrame, convert: Callable[[str, bytes], str] | None
     return files.select("path", "content").mapInPandas(run, "path string, content string, error string")
 
 
-def read_session_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """session (file), line_no, type, record (JSON) of JSONL files; lines that are no objects are left out."""
-    text = spark.read.text(paths, wholetext=True, pathGlobFilter="*.jsonl", recursiveFileLookup=True)
-    lines = text.select(F.col("_metadata.file_path").alias("session"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "record"))
-    kept = lines.where(F.col("record").rlike(r"^\s*\{")).select("session", (F.col("line") + 1).alias("line_no"), "record")
-    return kept.withColumn("type", F.get_json_object("record", "$.type"))
+def read_session_logs(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
+    """session (file), line_no, type, record (JSON) of JSONL files of any size; lines that are blank or no objects are left out.
+
+    Files are read line by line, in splits; a line's number is its place in its
+    file. A line that is no JSON fails the job with its number, or, unless
+    ``strict``, is left out.
+    """
+    text = spark.read.text(paths, pathGlobFilter="*.jsonl", recursiveFileLookup=True)
+    lines = text.select(F.col("_metadata.file_path").alias("session"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_in"), F.col("value").alias("record"))
+    placed = positions(lines, "session", ["_at", "_in"]).select("session", (F.col("pos") + 1).alias("line_no"), "record").where(F.trim("record") != "")
+    wrong = F.try_parse_json("record").isNull()
+    if strict:
+        told = F.raise_error(F.concat("session", F.lit(":"), F.col("line_no").cast("string"), F.lit(": no JSON")))
+        placed = placed.withColumn("record", F.when(wrong, told.cast("string")).otherwise(F.col("record")))
+    return placed.where(F.col("record").rlike(r"^\s*\{") & ~wrong).withColumn("type", F.get_json_object("record", "$.type"))

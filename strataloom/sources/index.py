@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_STRINGS = ["tenant_id", "domain", "project", "classification", "source_type", "provider", "source_id", "metadata_json"]
+# The greatest length of the columns that a search can be narrowed by.
+FILTER_LENGTHS = {"document_id": 128, "domain": 128, "project": 128, "classification": 64, "source_type": 64, "provider": 128, "source_id": 256}
+_COLUMNS = ["chunk_id", "document_id", "text", "vector", "tenant_id", "domain", "project", "classification", "source_type", "provider", "source_id", "metadata_json"]
 INDEX_SCHEMA = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("chunk_id", "document_id", "text")] + [T.StructField("vector", T.ArrayType(T.FloatType()))] + [T.StructField(c, T.StringType()) for c in _STRINGS]
+    [T.StructField(c, T.ArrayType(T.FloatType()) if c == "vector" else T.StringType(), metadata={"filter_length": FILTER_LENGTHS[c]} if c in FILTER_LENGTHS else {}) for c in _COLUMNS]
 )
 
 

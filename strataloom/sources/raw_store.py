@@ -41,3 +41,13 @@ def put_once(spark: SparkSession, objects: DataFrame, table_path: str) -> DataFr
     told = materialize(distinct.select("raw_key").join(known, "raw_key", "left").na.fill(False, ["raw_object_reused"]), "put")
     distinct.join(told.where(~F.col("raw_object_reused")).select("raw_key"), "raw_key", "left_semi").write.mode("append").parquet(table_path)
     return told
+
+
+def get(spark: SparkSession, table_path: str, keys: list[str]) -> DataFrame:
+    """The stored objects of some keys. An invalid or unknown key is an error."""
+    if wrong := [k for k in keys if not k or "\\" in k or "\0" in k or any(p in ("", ".", "..") for p in k.split("/"))]:
+        raise ValueError(f"invalid keys: {wrong}")
+    found = spark.read.parquet(table_path).where(F.col("raw_key").isin(keys))
+    if missing := set(keys) - {r.raw_key for r in found.select("raw_key").collect()}:
+        raise ValueError(f"unknown keys: {sorted(missing)}")
+    return found
