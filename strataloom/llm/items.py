@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.operators.current import current_rows
+from strataloom.operators.current import current_rows, file_row
 from strataloom.plans.tables import table
 
 
 def delivered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All deliveries: item_kind, item_id, text, section_path (null for documents), arrived_at."""
+    """All deliveries: item_kind, item_id, text, section_path (null for documents), arrived_at, row_id."""
     documents = table(spark, sf_dir, "norm_documents").select(
-        F.lit("document").alias("item_kind"), F.col("document_id").alias("item_id"), F.col("content").alias("text"), F.lit(None).cast("array<string>").alias("section_path"), "arrived_at"
+        F.lit("document").alias("item_kind"), F.col("document_id").alias("item_id"), F.col("content").alias("text"), F.lit(None).cast("array<string>").alias("section_path"), "arrived_at", file_row().alias("row_id")
     )
-    chunks = table(spark, sf_dir, "knowledge_chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "text", "section_path", "arrived_at")
+    chunks = table(spark, sf_dir, "knowledge_chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "text", "section_path", "arrived_at", file_row().alias("row_id"))
     return documents.unionByName(chunks)
 
 
@@ -24,4 +24,4 @@ def current_items(items: DataFrame, payload: list[Column | str], keep_text: Call
     """Current rows by kind and id. ``keep_text``: where it is false, the text isn't carried (an outdated or uninteresting text needs no shuffle)."""
     if keep_text is not None:
         items = items.withColumn("text", F.when(keep_text(), F.col("text")))
-    return current_rows(items, ["item_kind", "item_id"], payload)
+    return current_rows(items, ["item_kind", "item_id"], payload, row_id=F.col("row_id"))

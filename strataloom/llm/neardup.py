@@ -327,6 +327,10 @@ def _checked(pairs: DataFrame, sets: DataFrame, config: NearDupConfig) -> DataFr
     return judged.where(F.col("similarity") >= config.similarity - 1e-12)
 
 
+def _current(items: DataFrame, payload: list[str]) -> DataFrame:
+    return current_rows(items, ["item_kind", "item_id"], payload, row_id=F.col("row_id") if "row_id" in items.columns else None)
+
+
 def _texts_of(deliveries: DataFrame, readers: DataFrame, filter_bits: int) -> DataFrame:
     """Current texts of the few items in ``readers`` with their cid. A bitmap of their ids, of ``filter_bits`` whatever their number, thins the texts before the shuffle."""
     place = F.pmod(F.xxhash64("item_kind", "item_id"), F.lit(filter_bits)) + 1
@@ -335,11 +339,12 @@ def _texts_of(deliveries: DataFrame, readers: DataFrame, filter_bits: int) -> Da
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
     marked = deliveries.withColumns({"_bucket": F.bitmap_bucket_number(place), "_bit": bit}).join(F.broadcast(bitmap), "_bucket")
     maybe = marked.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0).drop("_bucket", "_bit", "_bits")
-    return current_rows(maybe.join(readers, ["item_kind", "item_id"]), ["item_kind", "item_id"], ["cid", "text"])
+    return _current(maybe.join(readers, ["item_kind", "item_id"]), ["cid", "text"])
 
 
 def near_duplicates(deliveries: DataFrame, config: NearDupConfig = NearDupConfig()) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of the current rows of ``deliveries`` (item_kind, item_id, text, arrived_at).
+    """(members, links) of the current rows of ``deliveries`` (item_kind, item_id, text, arrived_at, and where
+    rows can be told apart a long row_id; see ``current_rows``).
 
     ``members``: item_kind, item_id, cid, copy (a hash of the text: equal for
     copies), representative (the least id of the class) and members (of the
@@ -348,11 +353,12 @@ def near_duplicates(deliveries: DataFrame, config: NearDupConfig = NearDupConfig
     texts are in neither. Repeated rows are one item; other columns are ignored;
     empty tables give empty results.
     """
-    deliveries = deliveries.select("item_kind", "item_id", "text", "arrived_at")
-    hashed = deliveries.select("item_kind", "item_id", "arrived_at", F.xxhash64("text").alias("copy"), word_hashes(F.col("text")).alias("hashes"))
-    schema = "item_kind string, item_id string, arrived_at timestamp, copy long, n int, set1 long, set2 long, tail long, fronts array<long>"
+    identity = ["row_id"] if "row_id" in deliveries.columns else []
+    deliveries = deliveries.select("item_kind", "item_id", "text", "arrived_at", *identity)
+    hashed = deliveries.select("item_kind", "item_id", "arrived_at", *identity, F.xxhash64("text").alias("copy"), word_hashes(F.col("text")).alias("hashes"))
+    schema = f"item_kind string, item_id string, arrived_at timestamp, {'row_id long, ' if identity else ''}copy long, n int, set1 long, set2 long, tail long, fronts array<long>"
     sketched = hashed.mapInArrow(lambda b: sketch_batches(b, config), schema)
-    current = current_rows(sketched, ["item_kind", "item_id"], ["copy", "n", "set1", "set2", "tail", "fronts"]).where("n > 0")
+    current = _current(sketched, ["copy", "n", "set1", "set2", "tail", "fronts"]).where("n > 0")
     current = materialize(current.withColumn("cid", F.xxhash64("item_kind", "set1", "set2", "n")).drop("set1", "set2"), "sketches")
     classes = current.groupBy("cid").agg(F.first("item_kind").alias("item_kind"), F.min("item_id").alias("representative"), F.count("*").alias("members"), F.first("tail").alias("tail"), F.first("n").alias("n"), F.first("fronts").alias("fronts"))
     classes = materialize(classes, "classes")

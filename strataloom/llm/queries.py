@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.tokens import token_count
 from strataloom.llm import conversations, encoding, items, mixing, neardup, pii, quality, splitting, vectors
+from strataloom.operators.current import file_row
 from strataloom.plans.tables import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = vectors.SearchConfig(min_similarity=0.9, recall=0.97)
-    near = vectors.neighbours(vectors.current_vectors(table(spark, sf_dir, "chunk_records")), config=config)
+    config = vectors.SearchConfig(min_similarity=0.9, recall=0.99)
+    near = vectors.neighbours(vectors.current_vectors(table(spark, sf_dir, "chunk_records"), file_row()), config=config)
     return near.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar records of every twentieth record (by a hash of its id), against all records."""
     twentieth = F.pmod(F.xxhash64("id"), F.lit(20)) == 0
-    return vectors.neighbours(vectors.current_vectors(table(spark, sf_dir, "chunk_records")), twentieth)
+    return vectors.neighbours(vectors.current_vectors(table(spark, sf_dir, "chunk_records"), file_row()), twentieth)
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,18 +33,19 @@ class SearchConfig:
     """``leaf_rows``: vectors aimed at for a leaf, ``leaf_sample`` the sampled ones a leaf is fitted on. The tree is fitted on
     count * leaf_sample / leaf_rows vectors, ``max_fit_rows`` at most. ``calibration_rows``: queries whose true neighbours
     calibrate the visits. ``min_similarity``: neighbours below it aren't wanted, neither in the result nor for the recall.
-    ``part_rows``: vectors of a leaf that one task compares at once."""
+    ``part_rows``: vectors of a leaf that one task compares at once; ``task_rows``: vectors and queries aimed at for a task."""
 
     k: int = 10
     dim: int = 64
     min_similarity: float = -1.0
     recall: float = 0.95
     branch: int = 16
-    leaf_rows: int = 400
+    leaf_rows: int = 1500
     leaf_sample: int = 8
     max_fit_rows: int = 262_144
     calibration_rows: int = 1024
     part_rows: int = 20_000
+    task_rows: int = 100_000
     seed: int = 11
 
 
@@ -169,12 +170,17 @@ def unit_vectors(rows: DataFrame, config: SearchConfig = SearchConfig()) -> Data
     return materialize(units.select("id", F.xxhash64("vec").alias("rid"), "vec"), "units")
 
 
-def _sample(units: DataFrame, rows: int, count: int, config: SearchConfig) -> np.ndarray:
-    """A bounded sample, the same at each run: vectors of the lowest hashes."""
+def _picked(vectors: DataFrame, rows: int, count: int, seed: int) -> DataFrame:
+    """rid, vec of up to ``rows`` different vectors of the lowest hashes, the same at each run. ``count``: of ``vectors`` with their copies."""
     buckets = 1_000_003
-    share = min(1.0, 1.2 * rows / count)
-    picked = units.where(F.pmod(F.xxhash64("rid", F.lit(config.seed)), F.lit(buckets)) < int(share * buckets) + 1).select("vec").limit(rows)
-    return np.concatenate([np.zeros((0, config.dim), np.float32), *[_matrix(b.column(0), config.dim) for b in picked.toArrow().to_batches() if b.num_rows]])
+    share = min(1.0, 1.2 * rows / max(count, 1))
+    hashed = vectors.where(F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(buckets)) < int(share * buckets) + 1)
+    return hashed.groupBy("rid").agg(F.first("vec").alias("vec")).orderBy(F.xxhash64("rid", F.lit(seed))).limit(rows)
+
+
+def _sample(units: DataFrame, rows: int, count: int, config: SearchConfig) -> np.ndarray:
+    batches = _picked(units, rows, count, config.seed).select("vec").toArrow().to_batches()  # max_fit_rows vectors at most
+    return np.concatenate([np.zeros((0, config.dim), np.float32), *[_matrix(b.column(0), config.dim) for b in batches if b.num_rows]])
 
 
 def similar_vectors(units: DataFrame, queries: DataFrame | None = None, config: SearchConfig = SearchConfig()) -> DataFrame:
@@ -184,7 +190,7 @@ def similar_vectors(units: DataFrame, queries: DataFrame | None = None, config:
         return units.sparkSession.createDataFrame([], "qrid long, rid long, similarity double")
     rows = min(config.max_fit_rows, max(64, count * config.leaf_sample // config.leaf_rows))
     tree = units.sparkSession.sparkContext.broadcast(fit_tree(_sample(units, rows, count, config), config))  # max_fit_rows vectors at most
-    most = calibrate(queries if queries is not None else units, units, tree, config)
+    most = calibrate(queries if queries is not None else units, units, tree, count, config)
     if queries is None:
         return _best(_visit(None, units, tree, 0, most, count, config), config)
     asked = queries.select(F.col("rid").alias("qrid"), "vec", F.lit(config.min_similarity).cast("float").alias("bound"))
@@ -197,10 +203,10 @@ def similar_vectors(units: DataFrame, queries: DataFrame | None = None, config:
     return _best(found.unionByName(_visit(wider, units, tree, first, most, count, config)), config)
 
 
-def calibrate(queries: DataFrame, units: DataFrame, tree, config: SearchConfig) -> int:
-    """The least number of visits whose leaves hold the wanted share of the calibration queries' true neighbours."""
+def calibrate(queries: DataFrame, units: DataFrame, tree, count: int, config: SearchConfig) -> int:
+    """The least number of visits whose leaves hold the wanted share of the calibration queries' true neighbours. Which visit comes to a neighbour's leaf is found in tasks."""
     dim, k, low = config.dim, config.k, config.min_similarity
-    few = queries.select("rid", "vec").orderBy(F.xxhash64("rid", F.lit(config.seed + 1))).limit(config.calibration_rows).toPandas().drop_duplicates("rid")
+    few = _picked(queries, config.calibration_rows, count, config.seed + 1).toPandas()
     q, qids = _matrix(few["vec"], dim), few["rid"].to_numpy(np.int64)
     shared = units.sparkSession.sparkContext.broadcast((q, qids))  # calibration_rows vectors
 
@@ -223,15 +229,25 @@ def calibrate(queries: DataFrame, units: DataFrame, tree, config: SearchConfig)
                 yield pa.record_batch([pa.array(row.astype(np.int32)), pa.array(rids[col]), pa.array(s[row, col].astype(np.float64)), pa.array(leaves[back].astype(np.int32))], names=["q", "rid", "s", "leaf"])
 
     found = units.select("rid", "vec").mapInArrow(nearest, "q int, rid long, s double, leaf int").dropDuplicates(["q", "rid"])
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "rid"))).where(F.col("r") <= k).toPandas()
-    if best.empty:
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "rid"))).where(F.col("r") <= k).select("q", "leaf")
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, _ = shared.value
+        for batch in batches:
+            of, leaf = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rank, most = np.zeros(len(of), np.int64), 16
+            while (open_ := np.flatnonzero(rank == 0)).size:  # outwards, until every leaf is found
+                asked, at = np.unique(of[open_], return_inverse=True)
+                hit = visits(tree.value, q[asked], most)[at] == leaf[open_][:, None]
+                rank[open_] = np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, 0)
+                most *= 4
+            yield pa.record_batch([pa.array(rank)], names=["rank"])
+
+    counts = best.repartition("q").mapInArrow(ranks, "rank long").groupBy("rank").agg(F.count("*").alias("n")).orderBy("rank").toPandas()  # a row a rank, of calibration_rows * k neighbours
+    if counts.empty:
         return 1
-    rank = np.zeros(len(best), np.int64)
-    at = visits(tree.value, q, tree.value.leaves)
-    for i, (query, leaf) in enumerate(zip(best["q"], best["leaf"])):
-        rank[i] = int(np.flatnonzero(at[query] == leaf)[0]) + 1
-    rank.sort()
-    return int(rank[int(np.ceil(config.recall * len(rank))) - 1])
+    held = counts["n"].cumsum()
+    return int(counts["rank"][(held >= np.ceil(config.recall * held.iloc[-1])).idxmax()])
 
 
 def _best(found: DataFrame, config: SearchConfig) -> DataFrame:
@@ -247,6 +263,8 @@ def _visit(queries: DataFrame | None, units: DataFrame, tree, start: int, stop:
     def to_leaves(batches: Iterator[pa.RecordBatch], skip: int, most: int) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies of a vector leave a task once
         for b in batches:
+            if len(seen) > 1_000_000:
+                seen.clear()
             rids = b.column(0).to_pylist()
             fresh = [i for i, r in enumerate(rids) if not (r in seen or seen.add(r))]
             b = b.take(pa.array(fresh, pa.int32()))
@@ -265,14 +283,14 @@ def _visit(queries: DataFrame | None, units: DataFrame, tree, start: int, stop:
     parts = {i: int(-(-n // config.part_rows)) for i, n in enumerate(share.tolist()) if n > config.part_rows}
     placed, asked = placed.withColumn("part", F.lit(0)), asked.withColumn("part", F.lit(0))
     if parts:
-        many = F.coalesce(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("leaf")], F.lit(1))
-        placed = placed.withColumn("part", F.pmod(F.xxhash64("rid"), many.cast("long")).cast("int"))
+        table = F.broadcast(units.sparkSession.createDataFrame(list(parts.items()), "leaf int, many int"))  # fewer rows than the tree has leaves
+        placed = placed.drop("part").join(table, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("rid"), F.coalesce("many", F.lit(1)).cast("long")).cast("int"))
+        asked = asked.drop("part").join(table, "leaf", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("many", F.lit(1)) - 1))).drop("many")
         if everyone:  # vectors of a leaf in parts ask the other parts too
-            split = placed.where(F.col("leaf").isin(list(parts)))
-            others = split.select("leaf", F.col("rid").alias("qrid"), "vec", F.lit(low).cast("float").alias("bound"), "part", F.explode(F.sequence(F.lit(0), many - 1)).alias("other"))
-            asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), many - 1))).unionByName(others.where("other <> part").select("leaf", "qrid", "vec", "bound", F.col("other").alias("part")))
-        else:
-            asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), many - 1)))
+            split = placed.where("many is not null")
+            others = split.select("leaf", F.col("rid").alias("qrid"), "vec", F.lit(low).cast("float").alias("bound"), "part", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("other"))
+            asked = asked.unionByName(others.where("other <> part").select("leaf", "qrid", "vec", "bound", F.col("other").alias("part")))
+        placed = placed.drop("many")
 
     def compare(asking: pa.Table, there: pa.Table) -> pa.Table:
         q_out, r_out, s_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -301,6 +319,10 @@ def _visit(queries: DataFrame | None, units: DataFrame, tree, start: int, stop:
         return pa.table({"qrid": np.concatenate(q_out), "rid": np.concatenate(r_out), "similarity": np.concatenate(s_out)})
 
     asked = asked.withColumnRenamed("leaf", "at").withColumnRenamed("part", "at_part")
+    # As many tasks as the data asks for, whatever the session's number is.
+    visitors = count * (stop - (0 if everyone else start))
+    tasks = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(count + visitors) // config.task_rows))
+    asked, placed = asked.repartition(tasks, "at", "at_part"), placed.repartition(tasks, "leaf", "part")
     return asked.groupBy("at", "at_part").cogroup(placed.groupBy("leaf", "part")).applyInArrow(compare, "qrid long, rid long, similarity double")
 
 
@@ -334,5 +356,5 @@ def neighbours(rows: DataFrame, queries: Column | None = None, config: SearchCon
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def current_vectors(records: DataFrame) -> DataFrame:
-    return current_rows(records, ["chunk_id"], ["vector"]).select(F.col("chunk_id").alias("id"), "vector")
+def current_vectors(records: DataFrame, row_id: Column | None = None) -> DataFrame:
+    return current_rows(records, ["chunk_id"], ["vector"], row_id=row_id).select(F.col("chunk_id").alias("id"), "vector")
