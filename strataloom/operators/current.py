@@ -25,12 +25,13 @@ def newest_versions(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     return named.groupBy(*keys).agg(F.max(version).alias(version)).select(version)
 
 
-def current_rows(df: DataFrame, keys: list[str], payload: list[Column | str], arrived: str = "arrived_at", row_id: Column | None = None) -> DataFrame:
+def current_rows(df: DataFrame, keys: list[str], payload: list[Column | str], arrived: str = "arrived_at", row_id: Column | None = None, where: Column | None = None) -> DataFrame:
     """One row per key: that of the greatest ``arrived``; a null one is older than any other. Rows with a null in a key are dropped: they name nothing.
 
     With a ``row_id`` (``file_row()`` for files) keys and ages alone are aggregated,
     and the payload meets the chosen rows by their version: it is shuffled once,
     never sorted, and a key that is delivered very often is spread evenly.
+    ``where``: only current rows that it holds for are wanted; with a ``row_id`` others aren't shuffled.
 
     Without one, rows are aggregated with their payload, in one shuffle: partial
     sums make one row a key and map task, for which Spark sorts a task's rows by
@@ -40,7 +41,10 @@ def current_rows(df: DataFrame, keys: list[str], payload: list[Column | str], ar
     cols = [F.col(c) if isinstance(c, str) else c for c in payload]
     if row_id is not None:
         versions = df.select(*keys, row_version(F.col(arrived), row_id).alias("_version"))
-        rows = df.select(*keys, *cols, row_version(F.col(arrived), row_id).alias("_version"))
+        rows = (df if where is None else df.where(where)).select(*keys, *cols, row_version(F.col(arrived), row_id).alias("_version"))
         return rows.join(newest_versions(versions, keys, "_version").hint("shuffle_hash"), "_version", "left_semi").drop("_version")
+    if where is not None:
+        cols = [*cols, where.alias("_wanted")]
     state = df.where(F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 0).select(*keys, F.struct(*cols).alias("_row"), F.col(arrived).alias("_at"))
-    return state.groupBy(*keys).agg(F.max_by("_row", F.struct(_age(F.col("_at")), F.xxhash64("_row"))).alias("_row")).select(*keys, "_row.*")
+    out = state.groupBy(*keys).agg(F.max_by("_row", F.struct(_age(F.col("_at")), F.xxhash64("_row"))).alias("_row")).select(*keys, "_row.*")
+    return out if where is None else out.where("_wanted").drop("_wanted")

@@ -329,6 +329,8 @@ def test_current_rows_of_files(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "t"))
     got = current_rows(df, ["k"], ["v"], row_id=file_row())
     assert sorted(map(tuple, got.collect())) == [("a", "new"), ("b", "only"), ("c", "late")]
+    assert [r.k for r in current_rows(df, ["k"], ["v"], row_id=file_row(), where=F.col("v") == "new").collect()] == [r.k for r in current_rows(df, ["k"], ["v"], where=F.col("v") == "new").collect()] == ["a"]
+    assert current_rows(df, ["k"], ["v"], row_id=file_row(), where=F.col("v") == "old").count() == current_rows(df, ["k"], ["v"], where=F.col("v") == "old").count() == 0
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
     assert current_rows(df.where("k = 'none'"), ["k"], ["v"], row_id=file_row()).count() == 0
 
