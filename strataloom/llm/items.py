@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +18,6 @@ def delivered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.unionByName(chunks)
 
 
-def current_items(items: DataFrame, payload: list[Column | str], keep_text: Callable[[], Column] | None = None) -> DataFrame:
-    """Current rows by kind and id. ``keep_text``: where it is false, the text isn't carried (an outdated or uninteresting text needs no shuffle)."""
-    if keep_text is not None:
-        items = items.withColumn("text", F.when(keep_text(), F.col("text")))
-    return current_rows(items, ["item_kind", "item_id"], payload, row_id=F.col("row_id"))
+def current_items(items: DataFrame, payload: list[Column | str], where: Column | None = None) -> DataFrame:
+    """Current rows by kind and id; ``where``: those of them that it holds for, found before anything is shuffled."""
+    return current_rows(items, ["item_kind", "item_id"], payload, row_id=F.col("row_id"), where=where)

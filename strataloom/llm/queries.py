@@ -14,7 +14,7 @@ from strataloom.plans.tables import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = vectors.SearchConfig(min_similarity=0.9, recall=0.99)
+    config = vectors.SearchConfig(min_similarity=0.9, recall=0.995, either=True)
     near = vectors.neighbours(vectors.current_vectors(table(spark, sf_dir, "chunk_records"), file_row()), config=config)
     return near.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
 
@@ -28,7 +28,7 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all current documents and chunks above the limit."""
     limit = splitting.SplitConfig().max_tokens
-    current = items.current_items(items.delivered_items(spark, sf_dir), ["text", "section_path"], lambda: token_count(F.col("text")) > limit)
+    current = items.current_items(items.delivered_items(spark, sf_dir), ["text", "section_path"], token_count(F.col("text")) > limit)
     return splitting.split_oversized(current)
 
 

@@ -32,13 +32,15 @@ from strataloom.scratch import materialize
 class SearchConfig:
     """``leaf_rows``: vectors aimed at for a leaf, ``leaf_sample`` the sampled ones a leaf is fitted on. The tree is fitted on
     count * leaf_sample / leaf_rows vectors, ``max_fit_rows`` at most. ``calibration_rows``: queries whose true neighbours
-    calibrate the visits. ``min_similarity``: neighbours below it aren't wanted, neither in the result nor for the recall.
+    calibrate the visits. ``either``: two neighbours may find each other from either side, as where pairs are wanted: a neighbour counts
+    as held if its leaf is visited, or if it visits the query's leaf. ``min_similarity``: neighbours below it aren't wanted, neither in the result nor for the recall.
     ``part_rows``: vectors of a leaf that one task compares at once; ``task_rows``: vectors and queries aimed at for a task."""
 
     k: int = 10
     dim: int = 64
     min_similarity: float = -1.0
     recall: float = 0.95
+    either: bool = False
     branch: int = 16
     leaf_rows: int = 1500
     leaf_sample: int = 8
@@ -210,6 +212,8 @@ def calibrate(queries: DataFrame, units: DataFrame, tree, count: int, config: Se
     q, qids = _matrix(few["vec"], dim), few["rid"].to_numpy(np.int64)
     shared = units.sparkSession.sparkContext.broadcast((q, qids))  # calibration_rows vectors
 
+    home = visits(tree.value, q, 1)[:, 0] if len(q) else np.zeros(0, np.int32)
+
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, qids = shared.value
         for batch in batches:
@@ -225,11 +229,14 @@ def calibrate(queries: DataFrame, units: DataFrame, tree, count: int, config: Se
                 else:
                     row, col = np.nonzero(s >= max(low, -1.5))
                 used, back = np.unique(col, return_inverse=True)
-                leaves = visits(tree.value, x[used], 1)[:, 0] if len(used) else np.zeros(0, np.int32)
-                yield pa.record_batch([pa.array(row.astype(np.int32)), pa.array(rids[col]), pa.array(s[row, col].astype(np.float64)), pa.array(leaves[back].astype(np.int32))], names=["q", "rid", "s", "leaf"])
+                order = visits(tree.value, x[used], 16 if config.either else 1)[back] if len(used) else np.zeros((0, 1), np.int32)
+                # At which of its first visits the neighbour comes to the query's leaf; 0: at none of them.
+                hit = order == home[row][:, None]
+                from_there = np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, 0) if config.either else np.zeros(len(row), np.int64)
+                yield pa.record_batch([pa.array(row.astype(np.int32)), pa.array(rids[col]), pa.array(s[row, col].astype(np.float64)), pa.array(order[:, 0].astype(np.int32)), pa.array(from_there.astype(np.int64))], names=["q", "rid", "s", "leaf", "back"])
 
-    found = units.select("rid", "vec").mapInArrow(nearest, "q int, rid long, s double, leaf int").dropDuplicates(["q", "rid"])
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "rid"))).where(F.col("r") <= k).select("q", "leaf")
+    found = units.select("rid", "vec").mapInArrow(nearest, "q int, rid long, s double, leaf int, back long").dropDuplicates(["q", "rid"])
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "rid"))).where(F.col("r") <= k).select("q", "leaf", "back")
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, _ = shared.value
@@ -241,7 +248,8 @@ def calibrate(queries: DataFrame, units: DataFrame, tree, count: int, config: Se
                 hit = visits(tree.value, q[asked], most)[at] == leaf[open_][:, None]
                 rank[open_] = np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, 0)
                 most *= 4
-            yield pa.record_batch([pa.array(rank)], names=["rank"])
+            back = batch.column(2).to_numpy()
+            yield pa.record_batch([pa.array(np.where(back > 0, np.minimum(back, rank), rank))], names=["rank"])
 
     counts = best.repartition("q").mapInArrow(ranks, "rank long").groupBy("rank").agg(F.count("*").alias("n")).orderBy("rank").toPandas()  # a row a rank, of calibration_rows * k neighbours
     if counts.empty:
