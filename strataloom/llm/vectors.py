@@ -42,8 +42,8 @@ class SearchConfig:
     recall: float = 0.95
     either: bool = False
     branch: int = 16
-    leaf_rows: int = 1500
-    leaf_sample: int = 8
+    leaf_rows: int = 4000
+    leaf_sample: int = 16
     max_fit_rows: int = 262_144
     calibration_rows: int = 1024
     part_rows: int = 20_000
