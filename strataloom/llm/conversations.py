@@ -121,14 +121,15 @@ def answered(speakers: list[str]) -> bool:
 
 def _large_paths(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """conversation_id, node_id, speaker, at, o1, o2, o3 (the order) of unbroken paths."""
-    linked = rows.groupBy("conversation_id").agg(F.max(F.col("parent").isNotNull()).alias("linked"), F.min(F.col("number").isNotNull()).alias("numbered"), F.count("*").alias("n"))
-    kinds = [(r.conversation_id, r.linked, r.numbered, r.n) for r in linked.collect()]  # one row for each task_rows rows at most
-    flat, chained = [k[0] for k in kinds if not k[1]], [k[0] for k in kinds if k[1]]
-    number = F.when(F.col("conversation_id").isin([k[0] for k in kinds if k[2]]), F.col("number"))
-    out = rows.where(F.col("conversation_id").isin(flat)).select("conversation_id", "node_id", "speaker", "at", number.alias("o1"), F.when(number.isNull(), F.col("at")).alias("o2"), F.col("node_id").alias("o3"))
-    if not chained:
+    kinds = rows.groupBy("conversation_id").agg(F.max(F.col("parent").isNotNull()).alias("linked"), F.min(F.col("number").isNotNull()).alias("numbered"), F.count("*").alias("n"))
+    kinds = materialize(kinds, "kinds")
+    tagged = materialize(rows.join(kinds.drop("n"), "conversation_id"), "tagged")
+    number = F.when(F.col("numbered"), F.col("number"))
+    out = tagged.where("not linked").select("conversation_id", "node_id", "speaker", "at", number.alias("o1"), F.when(number.isNull(), F.col("at")).alias("o2"), F.col("node_id").alias("o3"))
+    most = kinds.where("linked").agg(F.max("n")).first()[0]
+    if most is None:
         return out
-    mine = rows.where(F.col("conversation_id").isin(chained))
+    mine = tagged.where("linked").drop("linked", "numbered")
     keys = ["conversation_id", "node_id"]
     parents = mine.where("parent is not null").select("conversation_id", F.col("parent").alias("node_id")).distinct()
     leaves = mine.join(parents, keys, "left_anti").groupBy("conversation_id").agg(F.max(F.struct(F.col("at").isNotNull().alias("a"), "at", "node_id"))["node_id"].alias("leaf"))
@@ -140,7 +141,6 @@ def _large_paths(rows: DataFrame, heads: DataFrame) -> DataFrame:
     jump = mine.select(*keys, "parent").join(here, ["conversation_id", "parent"], "left")
     jump = materialize(jump.select(*keys, F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), (F.col("parent").isNotNull() & F.col("there").isNull()).alias("lost")), "jump")
     path = materialize(starts, "path")
-    most = max(k[3] for k in kinds if k[1])
     for _ in range(int(most).bit_length() + 1):
         further = path.join(jump, keys).where("up is not null").select("conversation_id", F.col("up").alias("node_id"))
         path = materialize(path.unionByName(further).distinct(), "path")

@@ -50,7 +50,7 @@ _BLOCKS_ARROW = pa.schema([("kind", pa.int8()), ("block", pa.string()), ("doc",
 
 
 def cut_blocks(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0 (a document as word numbers) and, as each block closes, of kind 1 (its distinct words)."""
+    """Rows of kind 0 (a document as word numbers, with the third column of the batch, if there is one, in ``word``) and, as each block closes, of kind 1 (its distinct words)."""
     import regex
 
     find_any, find_ascii = regex.compile(WORD_PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
@@ -75,7 +75,7 @@ def cut_blocks(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[
                 yield close()
                 seq, size, numbers = seq + 1, 0, {}
         n = len(docs)
-        yield pa.record_batch([pa.array(np.zeros(n, np.int8)), pa.array(blocks, pa.string()), pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32))), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=_BLOCKS_ARROW)
+        yield pa.record_batch([pa.array(np.zeros(n, np.int8)), pa.array(blocks, pa.string()), pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32))), pa.nulls(n, pa.int32()), batch.column(2) if batch.num_columns > 2 else pa.nulls(n, pa.string())], schema=_BLOCKS_ARROW)
     if numbers:
         yield close()
 
@@ -183,18 +183,18 @@ def count_together(docs: pa.Table, words: pa.Table) -> pa.Table:
     sizes[words.column("no").to_numpy()] = words.column("n").to_numpy()
     nos, doc_ends = _flat(docs.column("words"))
     at = np.concatenate([[0], np.cumsum(sizes[nos] if len(nos) else np.zeros(0, np.int64))])
-    return pa.table({"doc": docs.column("doc"), "n_tokens": pa.array(at[doc_ends[1:]] - at[doc_ends[:-1]])})
+    return pa.table({"doc": docs.column("doc"), "carried": docs.column("carried"), "n_tokens": pa.array(at[doc_ends[1:]] - at[doc_ends[:-1]])})
 
 
-def _blocks_and_ids(df: DataFrame, doc: str, text: str, config: EncodingConfig) -> tuple[DataFrame, DataFrame]:
+def _blocks_and_ids(df: DataFrame, doc: str, text: str, config: EncodingConfig, carry: str | None = None) -> tuple[DataFrame, DataFrame]:
     spark: SparkSession = df.sparkSession
     with open(config.vocabulary, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary file, of fixed size
     most, chars = config.replay_words, config.block_chars
-    blocks = materialize(df.select(F.col(doc).cast("long"), F.col(text).cast("string")).mapInArrow(lambda b: cut_blocks(b, chars), _BLOCKS), "blocks")
+    blocks = materialize(df.select(F.col(doc).cast("long"), F.col(text).cast("string"), *([F.col(carry).cast("string")] if carry else [])).mapInArrow(lambda b: cut_blocks(b, chars), _BLOCKS), "blocks")
     listed = blocks.where("kind = 1").select(F.col("block").alias("home"), "no", "word")
     ids = listed.select("word").distinct().mapInArrow(lambda b: replay_batches(b, ranks, most), "word string, ids array<int>")
-    return blocks.where("kind = 0").select("block", "doc", "words"), listed.join(ids, "word").select("home", "no", "ids")
+    return blocks.where("kind = 0").select("block", "doc", "words", F.col("word").alias("carried")), listed.join(ids, "word").select("home", "no", "ids")
 
 
 def encode(df: DataFrame, doc: str = "doc_id", text: str = "text", config: EncodingConfig = EncodingConfig()) -> DataFrame:
@@ -207,12 +207,13 @@ def encode(df: DataFrame, doc: str = "doc_id", text: str = "text", config: Encod
     empty table gives an empty result.
     """
     docs, words = _blocks_and_ids(df, doc, text, config)
-    out = docs.groupBy("block").cogroup(words.groupBy("home")).applyInArrow(put_together, "doc long, ids array<int>")
+    out = docs.drop("carried").groupBy("block").cogroup(words.groupBy("home")).applyInArrow(put_together, "doc long, ids array<int>")
     return out.withColumnRenamed("doc", doc)
 
 
-def count_tokens(df: DataFrame, doc: str = "doc_id", text: str = "text", config: EncodingConfig = EncodingConfig()) -> DataFrame:
-    """As :func:`encode`, with the number of ids, ``n_tokens``, in place of the ids."""
-    docs, words = _blocks_and_ids(df, doc, text, config)
+def count_tokens(df: DataFrame, doc: str = "doc_id", text: str = "text", config: EncodingConfig = EncodingConfig(), carry: str | None = None) -> DataFrame:
+    """As :func:`encode`, with the number of ids, ``n_tokens``, in place of the ids, and the string column ``carry`` of each row beside it."""
+    docs, words = _blocks_and_ids(df, doc, text, config, carry)
     sizes = words.select("home", "no", F.size("ids").cast("long").alias("n"))
-    return docs.groupBy("block").cogroup(sizes.groupBy("home")).applyInArrow(count_together, "doc long, n_tokens long").withColumnRenamed("doc", doc)
+    out = docs.groupBy("block").cogroup(sizes.groupBy("home")).applyInArrow(count_together, "doc long, carried string, n_tokens long").withColumnRenamed("doc", doc)
+    return out.withColumnRenamed("carried", carry) if carry else out.drop("carried")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,15 +121,18 @@ def mix(docs: DataFrame, targets: DataFrame, config: MixConfig = MixConfig()) ->
     plans = [Plan(r.source, r.target, r.cap, sums[r.source].size if r.source in sums else 0, sums[r.source].docs if r.source in sums else 0) for r in listed]
     plan_budgets(plans, config.total_tokens)
     while todo := [p for p in plans if p.open]:
-        wanted = F.lit(False)
-        number = F.lit(None).cast("long")
-        for p in todo:
-            inside = F.col("source") == p.source
-            if p.bits:
-                inside &= F.shiftright("h", _BITS - p.bits) == (p.low >> (_BITS - p.bits))
-            wanted |= inside
-            number = F.when(F.col("source") == p.source, F.shiftright("h", _BITS - p.bits - _STEP).bitwiseAND(F.lit((1 << _STEP) - 1))).otherwise(number)
-        rows = sized.where(wanted).groupBy("source", number.alias("bucket")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()
+        # The open buckets as a table, max_sources rows at most: of each source how many bits are settled, and which they are.
+        settled = spark.createDataFrame([(p.source, _BITS - p.bits, p.low >> (_BITS - p.bits)) for p in todo], "source string, beyond int, prefix long")
+        inside = sized.join(F.broadcast(settled), "source").where(F.expr("shiftright(h, beyond) = prefix"))
+        number = F.expr(f"shiftright(h, beyond - {_STEP}) & {(1 << _STEP) - 1}")
+        sums = inside.groupBy("source", number.alias("bucket")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
+        # Only the first bucket that goes beyond the budget matters, and what lies before it.
+        so_far = Window.partitionBy("source").orderBy("bucket")
+        left = spark.createDataFrame([(p.source, float(p.rest - p.below)) for p in todo], "source string, left double")
+        reached = sums.withColumn("through", F.sum("tokens").over(so_far)).join(F.broadcast(left), "source")
+        over = F.min(F.when(F.col("through") > F.col("left"), F.col("bucket")))
+        ends = reached.groupBy("source").agg(over.alias("end"))
+        rows = reached.join(F.broadcast(ends), "source").where("end is null or bucket <= end").groupBy("source", (F.col("bucket") == F.col("end")).alias("last")).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"), F.max("bucket").alias("bucket")).collect()
         by: dict[str, list] = {}
         for r in rows:
             by.setdefault(r.source, []).append((r.bucket, r.tokens, r.docs))

@@ -16,7 +16,7 @@ _STREETS_DE = ["straße", "strasse", "gasse", "weg", "platz", "allee", "ufer", "
 _STREETS_FR = ["rue", "avenue", "boulevard", "place", "chemin", "allée", "quai", "impasse", "route", "cours"]
 _STREETS_ES = ["Calle", "Avenida", "Plaza", "Paseo", "Camino", "Carrera", "Ronda", "Travesía"]
 _STREETS_ZH = ["路", "街", "大道", "巷"]
-_PLACE_ZH = "青岚望江落枫听雪云山东南西北新长安平海河湖林花石金玉龙凤春秋明阳光华兴和宁永福泉清古松柏桥门城塘溪岭竹梅兰月星"
+_PLACE_ZH = "江云山东南西北新长安平海河湖林花石金玉龙凤春秋明阳光华兴和宁永福泉清古松柏桥门城塘溪岭竹梅兰月星"
 _TLDS = ["com", "org", "net", "de", "fr", "es", "cn", "io", "co.uk", "eu", "edu", "example", "test", "invalid", "info"]
 _TITLES = ["Dr. ", "Mr. ", "Ms. ", "Mrs ", "Prof. ", "Frau ", "Herr ", "Mme ", "M. ", "Sr. ", "Sra. ", "Dra. "]
 _STARTS = ["Yesterday ", "Today ", "Later ", "When ", "Then ", "Maybe ", "Meanwhile ", "Only ", "After that ", "Gestern haben ", "Heute war ", "Hier ", "Puis ", "Ayer ", "Hoy ", "Our ", "That ", "With ", "Once "]
@@ -111,8 +111,6 @@ class Maker:
         r = self.r
         form = r.choices(["ddd-dd-dddd", "ddd dd dddd", "AA-dddd-ddddd", "AA dddd ddddd", "AAddddddddd", "AdAddddddd", "A-ddddd-dd", "dddddd-ddddA", "AAddddddA", "ddddddddA"], [17, 14, 14, 12, 5, 14, 14, 14, 2, 2])[0]
         out = self.filled(form)
-        if form[:2] == "AA" and r.random() < 0.5:
-            out = "ZX" + out[2:]
         return out.lower() if r.random() < 0.12 else out
 
     def place(self) -> str:

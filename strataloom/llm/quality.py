@@ -23,8 +23,8 @@ from strataloom.scratch import materialize
 
 # Frequent function words by language.
 COMMON_WORDS = {
-    "en": "the a an and or of in on at to for from with by as is are was be it its that this these those every each our we they not but so before after while since until unless although because whenever nobody why which when then than has have had one".split(),
-    "de": "der die das den dem des ein eine einen einem einer eines und oder aber nicht in im an am auf aus bei mit nach von vor zu zum zur für ist sind war wird werden hat haben sich er sie es ihn dass wenn weil während bevor nachdem obwohl sobald jeder jede jedes unser teilen als".split(),
+    "en": "the a an and or of in on at to for from with by as is are was be it its that this these those every each our we they not but so before after while since until unless although because whenever why which when then than has have had one".split(),
+    "de": "der die das den dem des ein eine einen einem einer eines und oder aber nicht in im an am auf aus bei mit nach von vor zu zum zur für ist sind war wird werden hat haben sich er sie es ihn dass wenn weil während bevor nachdem obwohl sobald jeder jede jedes unser als".split(),
     "fr": "le la les un une des du de et ou mais pas ne en dans sur au aux pour par avec sans est sont a ont il elle que qui ce cette ces chaque notre se si dès lorsque quand puisque tandis afin avant après".split(),
     "es": "el la los las un una unos unas y o pero no en de del al para por con sin es son está tiene tienen que se su sus este esta cada nuestro lo le si cuando porque aunque mientras hasta desde antes después".split(),
 }

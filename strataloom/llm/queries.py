@@ -87,8 +87,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    documents = table(spark, sf_dir, "documents")
-    sizes = encoding.count_tokens(documents).join(documents.select("doc_id", "source"), "doc_id")
+    sizes = encoding.count_tokens(table(spark, sf_dir, "documents"), carry="source")
     return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"))
 
 

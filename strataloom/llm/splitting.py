@@ -94,24 +94,33 @@ def structure(units: list[str]) -> tuple[np.ndarray, list[tuple[str, ...]], np.n
     return grade, paths, is_heading
 
 
+def similarities(units: list[str], config: SplitConfig, memo: dict[str, int], block: int = 2048) -> np.ndarray:
+    """Similarity of the words of the ``block_units`` units on either side of the gap before each unit. Counts are held of ``block`` units at a time."""
+    n, k = len(units), config.block_units
+    sim = np.zeros(n, np.float32)
+    for at in range(0, n, block):
+        low, high = max(0, at - k), min(n, at + block + k)
+        places = []
+        for i in range(low, high):
+            for word in _WORD.findall(units[i].lower()):
+                if (c := memo.get(word)) is None:
+                    if len(memo) > 200_000:
+                        memo.clear()
+                    c = memo[word] = zlib.crc32(word.encode()) % config.dims
+                places.append((i - low) * config.dims + c)
+        flat = np.bincount(np.array(places, np.int64), minlength=(high - low) * config.dims)
+        sums = np.vstack([np.zeros(config.dims, np.float32), np.cumsum(flat.reshape(high - low, config.dims), axis=0, dtype=np.float32)])
+        gap = np.arange(at, min(n, at + block)) - low
+        left, right = sums[gap] - sums[np.maximum(gap - k, 0)], sums[np.minimum(gap + k, high - low)] - sums[gap]
+        norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
+        sim[gap + low] = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0)
+    return sim
+
+
 def valley_depths(units: list[str], config: SplitConfig, memo: dict[str, int]) -> np.ndarray:
     """Depth of the valley of block similarity at the gap before each unit."""
     n, k = len(units), config.block_units
-    rows, cols = [], []
-    for i, unit in enumerate(units):
-        for word in _WORD.findall(unit.lower()):
-            if (c := memo.get(word)) is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                c = memo[word] = zlib.crc32(word.encode()) % config.dims
-            cols.append(c)
-            rows.append(i)
-    flat = np.bincount(np.array(rows, np.int64) * config.dims + np.array(cols, np.int64), minlength=n * config.dims) if rows else np.zeros(n * config.dims)
-    sums = np.vstack([np.zeros(config.dims, np.float32), np.cumsum(flat.reshape(n, config.dims), axis=0, dtype=np.float32)])
-    gap = np.arange(n)
-    left, right = sums[gap] - sums[np.maximum(gap - k, 0)], sums[np.minimum(gap + k, n)] - sums[gap]
-    norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
-    sim = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0)
+    sim = similarities(units, config, memo)
     padded = np.pad(sim, k, mode="edge")
     windows = np.lib.stride_tricks.sliding_window_view(padded, k + 1)
     return windows[:n].max(1) + windows[k : k + n].max(1) - 2 * sim

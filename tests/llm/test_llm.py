@@ -405,3 +405,12 @@ def test_queries_run(spark, name):
     if name.startswith(("p6", "p7")) and not HAVE:
         pytest.skip("no vocabulary file")
     assert queries.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_similarity_in_blocks():
+    """Counts held of few units at a time give what counts of all give."""
+    rng = random.Random(6)
+    units = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(5)) for _ in range(300)]
+    whole = S.similarities(units, S.SplitConfig(), {}, 10_000)
+    for block in (1, 7, 64):
+        assert np.allclose(whole, S.similarities(units, S.SplitConfig(), {}, block), atol=1e-6)
