@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.operators.current import current_rows
+from strataloom.operators.current import current_rows, newest_versions, row_version
 from strataloom.scratch import materialize
 
 # A word: a character from U+3400 to U+9FFF, or a run of other letters and digits.
@@ -327,10 +327,6 @@ def _checked(pairs: DataFrame, sets: DataFrame, config: NearDupConfig) -> DataFr
     return judged.where(F.col("similarity") >= config.similarity - 1e-12)
 
 
-def _current(items: DataFrame, payload: list[str]) -> DataFrame:
-    return current_rows(items, ["item_kind", "item_id"], payload, row_id=F.col("row_id") if "row_id" in items.columns else None)
-
-
 def _texts_of(deliveries: DataFrame, readers: DataFrame, filter_bits: int) -> DataFrame:
     """Current texts of the few items in ``readers`` with their cid. A bitmap of their ids, of ``filter_bits`` whatever their number, thins the texts before the shuffle."""
     place = F.pmod(F.xxhash64("item_kind", "item_id"), F.lit(filter_bits)) + 1
@@ -339,7 +335,8 @@ def _texts_of(deliveries: DataFrame, readers: DataFrame, filter_bits: int) -> Da
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
     marked = deliveries.withColumns({"_bucket": F.bitmap_bucket_number(place), "_bit": bit}).join(F.broadcast(bitmap), "_bucket")
     maybe = marked.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0).drop("_bucket", "_bit", "_bits")
-    return _current(maybe.join(readers, ["item_kind", "item_id"]), ["cid", "text"])
+    kept = maybe.join(readers, ["item_kind", "item_id"])
+    return current_rows(kept, ["item_kind", "item_id"], ["cid", "text"], row_id=F.col("row_id") if "row_id" in kept.columns else None)
 
 
 def near_duplicates(deliveries: DataFrame, config: NearDupConfig = NearDupConfig()) -> tuple[DataFrame, DataFrame]:
@@ -355,10 +352,16 @@ def near_duplicates(deliveries: DataFrame, config: NearDupConfig = NearDupConfig
     """
     identity = ["row_id"] if "row_id" in deliveries.columns else []
     deliveries = deliveries.select("item_kind", "item_id", "text", "arrived_at", *identity)
-    hashed = deliveries.select("item_kind", "item_id", "arrived_at", *identity, F.xxhash64("text").alias("copy"), word_hashes(F.col("text")).alias("hashes"))
-    schema = f"item_kind string, item_id string, arrived_at timestamp, {'row_id long, ' if identity else ''}copy long, n int, set1 long, set2 long, tail long, fronts array<long>"
+    version = row_version(F.col("arrived_at"), F.col("row_id")) if identity else F.lit(None).cast("decimal(38,0)")
+    hashed = deliveries.select("item_kind", "item_id", "arrived_at", version.alias("version"), F.xxhash64("text").alias("copy"), word_hashes(F.col("text")).alias("hashes"))
+    schema = "item_kind string, item_id string, arrived_at timestamp, version decimal(38,0), copy long, n int, set1 long, set2 long, tail long, fronts array<long>"
     sketched = hashed.mapInArrow(lambda b: sketch_batches(b, config), schema)
-    current = _current(sketched, ["copy", "n", "set1", "set2", "tail", "fronts"]).where("n > 0")
+    payload = ["copy", "n", "set1", "set2", "tail", "fronts"]
+    if identity:  # the newest are found from ids and ages alone: no text is sketched for that
+        newest = newest_versions(deliveries.select("item_kind", "item_id", version.alias("version")), ["item_kind", "item_id"], "version")
+        current = sketched.where("n > 0").join(newest.hint("shuffle_hash"), "version", "left_semi").select("item_kind", "item_id", *payload)
+    else:
+        current = current_rows(sketched, ["item_kind", "item_id"], payload).where("n > 0")
     current = materialize(current.withColumn("cid", F.xxhash64("item_kind", "set1", "set2", "n")).drop("set1", "set2"), "sketches")
     classes = current.groupBy("cid").agg(F.first("item_kind").alias("item_kind"), F.min("item_id").alias("representative"), F.count("*").alias("members"), F.first("tail").alias("tail"), F.first("n").alias("n"), F.first("fronts").alias("fronts"))
     classes = materialize(classes, "classes")
