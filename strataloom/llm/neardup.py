@@ -315,8 +315,8 @@ def _checked(pairs: DataFrame, sets: DataFrame, config: NearDupConfig) -> DataFr
     parts = pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).groupBy("cid").agg(F.ceil(F.count("*") / config.hub_pairs).alias("parts"))
     copies = sets.join(parts, "cid").select("cid", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
 
-    def end(x: str) -> DataFrame:
-        return copies.select(F.col("cid").alias(f"cid_{x}"), F.col("part").alias(f"part_{x}"), F.col("shingles").alias(f"shingles_{x}"))
+    def end(x: str) -> DataFrame:  # grows with the data: merged at every size
+        return copies.select(F.col("cid").alias(f"cid_{x}"), F.col("part").alias(f"part_{x}"), F.col("shingles").alias(f"shingles_{x}")).hint("merge")
 
     placed = pairs
     for x, other in ("ab", "ba"):
