@@ -53,13 +53,13 @@ P4 = neardup.NearDupConfig(words=3, similarity=0.7, min_words=20)  # as TESTDATA
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, links = neardup.near_duplicates(items.delivered_items(spark, sf_dir), P4)
+    members, links = neardup.near_duplicates(items.delivered_items(spark, sf_dir).drop("row_id"), P4)
     return neardup.pairs_of_ids(members, links, P4)
 
 
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item with its class, and the number of other classes that are near it."""
-    members, links = neardup.near_duplicates(items.delivered_items(spark, sf_dir), P4)
+    members, links = neardup.near_duplicates(items.delivered_items(spark, sf_dir).drop("row_id"), P4)
     ends = links.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
     return members.join(ends, "cid", "left").na.fill(0, ["links"])
 
