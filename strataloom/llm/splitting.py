@@ -6,7 +6,8 @@ end in reach. Between neighbouring units lies a gap; the similarity of the words
 before and after it has valleys where the topic changes. Each piece ends at the
 deepest valley within the window of sizes that the limit leaves, among the gaps
 of the best kind that the Markdown has there: never inside a fence or a table
-while there is another. Units before a piece are repeated as overlap.
+while there is another. Units before a piece are repeated as overlap; where the
+unit before is too long for that, its last words are.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.functions.tokens import token_count
+from strataloom.functions.tokens import TOKEN_RE, token_count
 
 # A unit: at most 240 characters up to the end of a sentence or line with the white space after it; else up to
 # the last white space; else up to the end of the identifier at hand. Blank lines belong to the unit before.
@@ -35,6 +36,7 @@ _HEADING = re.compile(r"\s{0,3}(#{1,6})[ \t]+(.+?)[ \t]*#*\s*$")
 _FENCE = re.compile(r"\s{0,3}(```|~~~)")
 _ROW = re.compile(r"\s*\||[^\n]*\t[^\n]*\t|[^\n]*\|[^\n]*\|")
 _WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]{4,}")
+_TOKEN = re.compile(TOKEN_RE.removeprefix("(?U)"))  # white space of str patterns is Unicode's anyway
 
 
 @dataclass(frozen=True)
@@ -126,8 +128,17 @@ def valley_depths(units: list[str], config: SplitConfig, memo: dict[str, int]) -
     return windows[:n].max(1) + windows[k : k + n].max(1) - 2 * sim
 
 
-def cut(units: list[str], tokens: np.ndarray, config: SplitConfig, memo: dict[str, int]) -> Iterator[tuple[int, int, int, tuple[str, ...]]]:
-    """Pieces as (first unit with the overlap, first new unit, end, section path)."""
+def last_words(unit: str, most: int) -> tuple[str, int]:
+    """The end of a unit from the first word on that leaves at most ``most`` tokens, and their number; of a longer run without white space its last tokens."""
+    starts = [m.start() for m in _TOKEN.finditer(unit)][-most:] if most else []
+    if not starts:
+        return "", 0
+    k = next((k for k, s in enumerate(starts) if s == 0 or unit[s - 1].isspace() or "㐀" <= unit[s] <= "鿿"), 0)
+    return unit[starts[k] :], len(starts) - k
+
+
+def cut(units: list[str], tokens: np.ndarray, config: SplitConfig, memo: dict[str, int]) -> Iterator[tuple[str, int, int, tuple[str, ...]]]:
+    """Pieces as (overlap, first new unit, end, section path)."""
     n = len(units)
     total = np.concatenate([[0], np.cumsum(tokens)])
     grade, paths, is_heading = structure(units)
@@ -137,12 +148,18 @@ def cut(units: list[str], tokens: np.ndarray, config: SplitConfig, memo: dict[st
         first = start
         while first > 0 and total[start] - total[first - 1] <= config.overlap_tokens:
             first -= 1
-        room = config.max_tokens - (total[start] - total[first])
+        overlap, repeated = "".join(units[first:start]), total[start] - total[first]
+        if start and not repeated:  # whole units have more tokens, or none
+            unit = int(np.searchsorted(total, total[start], side="left")) - 1  # the last one with a token
+            if unit >= 0:
+                words, repeated = last_words(units[unit], config.overlap_tokens)
+                overlap = words + "".join(units[unit + 1 : start]) if repeated else overlap
+        room = config.max_tokens - repeated
         end = int(np.searchsorted(total, total[start] + room, side="right")) - 1
         if end < n:
             end = best_gap(start, max(end, start + 1), total, grade, depth, config)
         content = next((i for i in range(start, end) if not is_heading[i] and units[i].strip()), start)
-        yield first, start, end, paths[content]
+        yield overlap, start, end, paths[content]
         start = end
 
 
@@ -179,8 +196,8 @@ def cut_batches(batches: Iterator[pd.DataFrame], config: SplitConfig) -> Iterato
         for kind, item, units, tokens, given in batch.itertuples(index=False):
             units = list(units)
             given = None if given is None else list(given)
-            for k, (first, start, end, path) in enumerate(cut(units, np.asarray(tokens, np.int64), config, memo)):
-                out.append((kind, item, k, "".join(units[first:end]), join_paths(given, path), sum(map(len, units[first:start]))))
+            for k, (overlap, start, end, path) in enumerate(cut(units, np.asarray(tokens, np.int64), config, memo)):
+                out.append((kind, item, k, overlap + "".join(units[start:end]), join_paths(given, path), len(overlap)))
         yield pd.DataFrame(out, columns=["item_kind", "item_id", "piece_index", "text", "section_path", "overlap_chars"])
 
 
@@ -195,6 +212,7 @@ def split_oversized(items: DataFrame, config: SplitConfig = SplitConfig()) -> Da
     ignored. Items at or below the limit, and null, empty and blank texts, give
     no piece. Pieces follow the text and, without their overlap (the first
     ``overlap_chars`` code points), make it up again character by character.
+    Each but the first has an overlap, of up to ``overlap_tokens`` tokens, if any token lies before it.
     ``token_count`` is the true approximate count and never above the limit.
     Repeated rows give repeated pieces. Texts of any length are cut whole.
     """

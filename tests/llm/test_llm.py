@@ -111,11 +111,15 @@ def test_pieces(spark):
     long = "# Top\n\n" + "\n\n".join(f"## S{i}\n\n" + " ".join(f"Word{i} goes here number {j}." for j in range(60)) for i in range(4))
     texts = ["", None, " \n", "short", long, "中" * 3000, "x " * 3000, "-" * 2000, "a--" * 1500, "```\n" + "code line 1;\n" * 400 + "```", "| a | b |\n" * 300, "\r\n".join(["# R"] + ["line of text."] * 400)]
     df = spark.createDataFrame([("document", str(i), t, [" A ", ""] if i == 6 else None) for i, t in enumerate(texts)], "item_kind string, item_id string, text string, section_path array<string>")
-    got = S.split_oversized(df).orderBy("item_id", "piece_index").collect()
+    from strataloom.functions.tokens import token_count
+
+    overlap = token_count(F.expr("substring(text, 1, overlap_chars)"))
+    got = S.split_oversized(df).withColumn("overlap", overlap).orderBy("item_id", "piece_index").collect()
     by = {}
     for r in got:
         by.setdefault(int(r.item_id), []).append(r)
     assert set(by) == set(range(4, 12))
+    assert all((0 < r.overlap <= 64) if r.piece_index else r.overlap == r.overlap_chars == 0 for r in got)
     for i, pieces in by.items():
         assert [p.piece_index for p in pieces] == list(range(len(pieces)))
         assert all(0 < p.token_count <= 512 for p in pieces)
@@ -126,6 +130,12 @@ def test_pieces(spark):
         S.SplitConfig(max_tokens=100)
 
 
+def test_last_words():
+    assert S.last_words("one two three", 2) == ("two three", 2) and S.last_words("中文字符", 3) == ("文字符", 3)
+    assert S.last_words("a" + "-" * 9 + " end. ", 4) == ("end. ", 2) and S.last_words("-" * 9, 4) == ("----", 4)
+    assert S.last_words("word", 0) == S.last_words(" ", 3) == ("", 0) and S.last_words("word ", 3) == ("word ", 1)
+
+
 # 3. Conversations
 
 
