@@ -32,6 +32,13 @@ def read_binary(spark: SparkSession, paths: str | list[str], recursive: bool = F
     return files.select("path", "content", F.sha2("content", 256).alias("raw_sha256"), F.length("content").cast("long").alias("raw_size_bytes"), source_kind(F.col("path")).alias("kind"))
 
 
+def find_exports(spark: SparkSession, directory: str) -> DataFrame:
+    """The chat exports anywhere below a folder, as ``read_binary`` gives files: JSON files named as conversations, and ZIP files with "conversation" in their name."""
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    wanted = F.when(name.endswith(".zip"), name.contains("conversation")).otherwise(F.col("path").rlike(CONVERSATION_FILE))
+    return read_binary(spark, directory, recursive=True).where((F.col("kind") == "chat") & wanted)
+
+
 def safe_member(name: str) -> str:
     """The member's name with forward slashes; absolute names and those that climb out are errors."""
     plain = name.replace("\\", "/")

@@ -300,6 +300,34 @@ def test_upsert_and_stream(spark, tmp_path):
     assert sorted((r.k, r.v) for r in ingest.latest(spark, out).collect()) == [("a", 2), ("b", 1)]
 
 
+def test_stream_writes_touched_parts(spark, tmp_path):
+    src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
+
+    def deliver(rows):
+        df = spark.createDataFrame(rows, "k string, v int, at string").select("k", "v", F.col("at").cast("timestamp").alias("arrived_at"))
+        df.write.mode("append").parquet(src)
+        ingest.stream_current(spark, src, df.schema, out, check, ["k"], buckets=8).awaitTermination()
+        return {int(p.parent.name[2:]) for p in (tmp_path / "out").glob("v=*/bucket=*")}, {r.k: r.v for r in ingest.latest(spark, out).collect()}
+
+    first, got = deliver([(f"k{i}", 0, "2020-01-01") for i in range(100)] + [("k1", 0, "2020-01-01"), (None, 9, "2020-01-01")])
+    assert first == {0} and got == {f"k{i}": 0 for i in range(100)}
+    for n in (1, 2, 3):
+        versions, got = deliver([("k7", n, f"202{n}-01-01"), ("k8", -1, "2019-01-01"), ("new", n, f"202{n}-01-01")])
+        assert got == {f"k{i}": 0 for i in range(100)} | {"k7": n, "new": n}
+    assert versions == {0, 2, 3}  # what versions before the last two replaced is gone
+    touched = list((tmp_path / "out" / "v=3").glob("bucket=*"))
+    assert 0 < len(touched) <= 3 and {r.v for r in ingest.latest(spark, out, 2).where("k = 'k7'").collect()} == {2}
+    (tmp_path / "out" / "v=3" / "_SUCCESS").unlink()  # a version that isn't whole doesn't count
+    assert {r.v for r in ingest.latest(spark, out).where("k in ('k7', 'new')").collect()} == {2} and ingest.latest(spark, str(tmp_path / "none")) is None
+
+
+def test_find_exports(spark, tmp_path):
+    for name in ("conversations.json", "sub/conversations-2.json", "sub/user.json", "my-Conversation.zip", "other.zip", "a.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"[]")
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in files.find_exports(spark, str(tmp_path)).collect()) == ["conversations-2.json", "conversations.json", "my-Conversation.zip"]
+
+
 def test_embed(spark):
     config = embedding.EmbeddingConfig(dimension=2, batch_size=3)
 
