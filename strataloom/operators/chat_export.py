@@ -1,4 +1,4 @@
-"""Chat exports: a conversation's JSON with its message graph becomes turns and a document. All in the JVM."""
+"""Chat exports: a conversation's JSON with its message graph becomes turns and a document. Expressions of the JVM, but for the walk along the graph."""
 
 from __future__ import annotations
 
@@ -11,19 +11,28 @@ from pyspark.sql import functions as F
 from strataloom.functions.text import epoch_to_timestamp, first_nonempty, strip
 
 _MESSAGE = "struct<id: string, author: struct<role: string, name: string>, create_time: double, update_time: double, content: struct<content_type: string, parts: array<string>, text: string, result: string>, metadata: string, recipient: string>"
-CONVERSATION = f"id string, conversation_id string, title string, create_time double, update_time double, current_node string, mapping map<string, struct<id: string, parent: string, children: array<string>, message: {_MESSAGE}>>, messages array<{_MESSAGE}>"
+# What a document keeps of its conversation's other fields.
+CONVERSATION_KEYS = ["default_model_slug", "conversation_template_id", "gizmo_id", "gizmo_type", "is_archived", "is_starred", "conversation_origin", "memory_scope", "voice"]
+CONVERSATION = f"{', '.join(f'{k} string' for k in CONVERSATION_KEYS)}, id string, conversation_id string, title string, create_time double, update_time double, current_node string, mapping map<string, struct<id: string, parent: string, children: array<string>, message: {_MESSAGE}>>, messages array<{_MESSAGE}>"
 HIDDEN = ["thoughts", "reasoning_recap", "user_editable_context", "model_editable_context"]
 
 
-def active_path(mapping: Column, current: Column) -> Column:
-    """Node ids from the root to ``current``: a fold that follows parents and stops at a missing node or one seen before."""
-    state = F.struct(F.expr("cast(array() as array<string>)").alias("path"), current.alias("at"))
+def _walk(ids: list[str], parents: list[str | None], at: str | None) -> list[int]:
+    place, path = {node: i for i, node in enumerate(ids)}, {}
+    while (i := place.get(at)) is not None and i not in path:
+        path[i] = None
+        at = parents[i]
+    return list(path)[::-1]
 
-    def step(s: Column, _: Column) -> Column:
-        on = s.at.isNotNull() & F.map_contains_key(mapping, F.coalesce(s.at, F.lit(""))) & ~F.array_contains(s.path, F.coalesce(s.at, F.lit("")))
-        return F.when(on, F.struct(F.concat(F.array(s.at), s.path).alias("path"), F.try_element_at(mapping, s.at).parent.alias("at"))).otherwise(F.struct(s.path.alias("path"), F.lit(None).cast("string").alias("at")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(mapping), F.lit(1))), state, step, lambda s: s.path)
+def active_path(ids: Column, parents: Column, current: Column) -> Column:
+    """Places in ``ids`` (from 0) of the nodes from the root to ``current``: parents are followed up to a missing node or one seen before. Time grows with the nodes, not with their square, as a fold over a map would."""
+
+    @F.pandas_udf("array<int>")
+    def path(ids: pd.Series, parents: pd.Series, current: pd.Series) -> pd.Series:
+        return pd.Series([_walk(*row) for row in zip(ids, parents, current)], dtype=object)
+
+    return path(ids, parents, current)
 
 
 def latest_leaf(mapping: Column) -> Column:
@@ -105,7 +114,8 @@ def canonical_json(text: Column) -> Column:
 
 
 def normalize(conversations: DataFrame, column: str = "conversation", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One document a conversation JSON: document_id, title, content (the transcript), turns, role counts and node counts, diagnostics, times, and ``keep``.
+    """One document a conversation JSON: document_id, title, content (the transcript), turns, role counts and node counts, times, diagnostics, fields (a map of
+    CONVERSATION_KEYS that are there and not null, as text or JSON), and ``keep``.
 
     The path leads from current_node, or from the latest leaf where that is no
     node; a conversation without a mapping has its ``messages`` as turns named
@@ -117,30 +127,34 @@ def normalize(conversations: DataFrame, column: str = "conversation", keep: tupl
     mapping = F.coalesce("c.mapping", F.expr(f"cast(map() as map<string, struct<id: string, parent: string, children: array<string>, message: {_MESSAGE}>>)"))
     start = F.when(F.map_contains_key(mapping, F.coalesce("c.current_node", F.lit(""))), F.col("c.current_node")).otherwise(latest_leaf(mapping))
     rows = rows.select(*keep, "_raw", "c", mapping.alias("mapping"), start.alias("start"))
-    rows = rows.withColumn("_path", F.when(F.size("mapping") > 0, active_path(F.col("mapping"), F.col("start"))))
-    on_path = F.transform("_path", lambda p: F.struct(p.alias("node_id"), F.try_element_at("mapping", p).message.alias("message")))
+    rows = rows.withColumn("_ids", F.map_keys("mapping")).withColumn("_nodes", F.map_values("mapping"))
+    # Both Python steps stand in one projection, below all that is built on them: projections with one each would be merged, and copy the turns into every column.
+    walked = active_path(F.col("_ids"), F.transform("_nodes", lambda n: n.parent), F.col("start"))
+    rows = rows.select("*", walked.alias("_path"), canonical_json(F.col("_raw")).alias("_canonical"))
+    on_path = F.transform("_path", lambda p: F.struct(F.get("_ids", p).alias("node_id"), F.get("_nodes", p).message.alias("message")))
     flat = F.transform("c.messages", lambda m, i: F.struct(F.concat(F.lit("flat-"), i.cast("string")).alias("node_id"), m.alias("message")))
     # Flat messages stand in where the mapping gives no turn.
     rows = rows.withColumn("_graph", turns_of(on_path)).withColumn("turns", F.when(F.size("_graph") > 0, F.col("_graph")).otherwise(turns_of(flat)))
-    rows = rows.where(F.size("turns") > 0)
     times = F.transform("turns", lambda t: t.create_time)
     created = F.coalesce("c.create_time", F.array_min(times))
     updated = F.greatest(F.coalesce("c.update_time", F.array_max(times)), created)
-    key = F.coalesce(first_nonempty(F.col("c.id"), F.col("c.conversation_id")), F.concat(F.lit("anonymous-"), F.substring(F.sha2(canonical_json(F.col("_raw")), 256), 1, 16)))
+    key = F.coalesce(first_nonempty(F.col("c.id"), F.col("c.conversation_id")), F.concat(F.lit("anonymous-"), F.substring(F.sha2("_canonical", 256), 1, 16)))
     content = F.array_join(F.transform("turns", lambda t: F.concat(F.lit("## "), F.initcap(t.role), F.lit("\n\n"), t.text)), "\n\n")
     count = lambda role: F.size(F.filter("turns", lambda t: t.role == role))
-    top = F.element_at("_path", 1)  # where the walk ended
-    beyond = F.try_element_at("mapping", top).parent
+    beyond = F.get("_nodes", F.get("_path", F.lit(0))).parent  # of the node that the walk ended at
+    seen = F.array_contains(F.transform("_path", lambda p: F.get("_ids", p)), beyond)
     diagnostics = F.array_compact(F.array(
         F.when((F.size("mapping") > 0) & ~F.coalesce(F.map_contains_key("mapping", F.coalesce("c.current_node", F.lit(""))), F.lit(False)), "no_current_node"),
-        F.when(F.array_contains("_path", beyond), "circle"), F.when(beyond.isNotNull() & ~F.map_contains_key("mapping", F.coalesce(beyond, F.lit(""))), "missing_parent"),
+        F.when(seen, "circle"), F.when(beyond.isNotNull() & ~F.array_contains("_ids", F.coalesce(beyond, F.lit(""))), "missing_parent"),
         F.when((F.size("mapping") > 0) & (F.size("_graph") == 0), "flat_messages"),
     ))
+    fields = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, CONVERSATION_KEYS)), F.array(*[F.col(f"c.{k}") for k in CONVERSATION_KEYS])), lambda _, v: v.isNotNull())
     out = rows.select(
         F.concat(F.lit("chatgpt:"), key).alias("document_id"), first_nonempty(F.col("c.title"), F.lit("Untitled conversation")).alias("title"), content.alias("content"), F.sha2(content, 256).alias("content_hash"), "turns",
-        count("user").alias("user_turns"), count("assistant").alias("assistant_turns"), F.size("mapping").alias("mapping_nodes"), F.greatest(F.size("mapping") - F.coalesce(F.size("_path"), F.lit(0)), F.lit(0)).alias("inactive_nodes"),
-        epoch_to_timestamp(created).alias("created_at"), epoch_to_timestamp(updated).alias("updated_at"), diagnostics.alias("diagnostics"), *keep,
+        count("user").alias("user_turns"), count("assistant").alias("assistant_turns"), F.size("mapping").alias("mapping_nodes"), (F.size("mapping") - F.size("_path")).alias("inactive_nodes"),
+        epoch_to_timestamp(created).alias("created_at"), epoch_to_timestamp(updated).alias("updated_at"), diagnostics.alias("diagnostics"), fields.alias("fields"), *keep,
     )
-    order = F.struct(F.coalesce("updated_at", "created_at"), "content_hash")
+    # Those without a turn are left out here: a condition ahead of the shuffle would be pushed below the parsed columns, and parse the JSON again for each node.
+    order = F.when(F.size("turns") > 0, F.struct(F.coalesce("updated_at", "created_at"), "content_hash"))
     whole = F.struct(*[x for x in out.columns if x != "document_id"])
-    return out.groupBy("document_id").agg(F.max_by(whole, order).alias("d")).select("document_id", "d.*")
+    return out.groupBy("document_id").agg(F.max_by(whole, order).alias("d")).where("d is not null").select("document_id", "d.*")

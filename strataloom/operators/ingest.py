@@ -74,7 +74,7 @@ def file_documents(spark: SparkSession, paths: str | list[str], config: IngestCo
     talks = chat_export.normalize(said.where("error is null"), keep=("path",))
     source = F.struct(F.lit("conversation").alias("source_type"), F.lit("chatgpt").alias("provider"), F.col("path").alias("uri"), F.substring_index("document_id", ":", -1).alias("source_id"))
     common = ["document_id", "title", "content", "content_hash", "source", "metadata", "path"]
-    from_talks = talks.select("document_id", "title", "content", "content_hash", source.cast(_SOURCE).alias("source"), F.to_json(F.struct("user_turns", "assistant_turns", "mapping_nodes", "inactive_nodes")).alias("metadata"), "path")
+    from_talks = talks.select("document_id", "title", "content", "content_hash", source.cast(_SOURCE).alias("source"), F.to_json(F.struct("user_turns", "assistant_turns", "mapping_nodes", "inactive_nodes", "diagnostics", "fields")).alias("metadata"), "path")
     docs = written.withColumn("path", F.col("source.uri")).withColumn("source", F.col("source").cast(_SOURCE)).select(*common).unionByName(from_talks.select(*common))
     # Copies of one file are one document, of the first path.
     docs = docs.groupBy("document_id").agg(F.min_by(F.struct(*common[1:]), "path").alias("d")).select("document_id", "d.*")

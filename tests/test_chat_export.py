@@ -21,6 +21,8 @@ def test_normalize(spark):
     exports = [
         {"id": "a", "title": "T", "current_node": "u2", "update_time": 10.0, "mapping": graph()}, {"id": "a", "title": "older", "current_node": "u1", "update_time": 9.0, "mapping": graph()},
         {"id": "b", "current_node": "gone", "mapping": graph()}, {"id": "c", "messages": [message("user", "flat", 1), message("assistant", "reply", 2000000000000)]}, {"id": "e", "mapping": {}},
+        {"id": "long", "current_node": "n2999", "is_starred": True, "voice": {"name": "v"}, "gizmo_id": None, "default_model_slug": "m",
+         "mapping": {f"n{i}": {"id": f"n{i}", "parent": f"n{i - 1}" if i else "lost", "children": [], "message": message("user", f"t{i}", i)} for i in range(3000)}},
         {"title": "circle", "current_node": "x", "mapping": {"x": {"id": "x", "parent": "y", "children": ["y"], "message": message("user", "x", 1)}, "y": {"id": "y", "parent": "x", "children": ["x"], "message": message("assistant", "y", 2)}}},
     ]
     df = spark.createDataFrame([(json.dumps(e),) for e in exports], "conversation string")
@@ -30,7 +32,13 @@ def test_normalize(spark):
     assert a.content == "## User\n\nQuestion\n\n## Assistant\n\nAnswer\n\n## User\n\nNext\n\n[Image: file-1]"
     assert [t.node_id for t in got["chatgpt:b"].turns] == ["u1", "now", "u2"]
     assert [t.node_id for t in got["chatgpt:c"].turns] == ["flat-0", "flat-1"] and got["chatgpt:c"].updated_at.year == 2033
-    assert "chatgpt:e" not in got and len(got) == 4 and any(k.startswith("chatgpt:anonymous-") for k in got)
+    assert "chatgpt:e" not in got and len(got) == 5 and any(k.startswith("chatgpt:anonymous-") for k in got)
+    long = got["chatgpt:long"]
+    assert [t.node_id for t in long.turns] == [f"n{i}" for i in range(3000)] and long.diagnostics == ["missing_parent"] and a.fields == {}
+    assert long.fields == {"is_starred": "true", "voice": '{"name":"v"}', "default_model_slug": "m"}
+    circle = next(r for k, r in got.items() if k.startswith("chatgpt:anonymous-"))
+    assert [t.node_id for t in circle.turns] == ["y", "x"] and circle.diagnostics == ["circle"] and circle.inactive_nodes == 0
+    assert got["chatgpt:b"].diagnostics == ["no_current_node"] and got["chatgpt:c"].diagnostics == []
     assert chat_export.normalize(df.where(F.lit(False))).count() == 0
 
 
